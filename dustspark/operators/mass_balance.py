@@ -74,7 +74,7 @@ def balance_series(prepared: DataFrame, interval: int = C.BALANCE_INTERVAL) -> D
 def mass_balance(prepared: DataFrame, factors: DataFrame, interval: int = C.BALANCE_INTERVAL) -> DataFrame:
     """Daily deposition, mass and loss. Mass is linear in the site factor, so the fold runs once for
     factor 1 and is scaled."""
-    rows = balance_series(prepared, interval).select("site_id", F.inline(F.arrays_zip("days", "unit_mass")))
+    rows = balance_series(prepared, interval).select("site_id", F.inline_outer(F.arrays_zip("days", "unit_mass")))
     out = rows.select("site_id", "days.*", "unit_mass").join(factors.select("site_id", "site_factor"), "site_id")
     mass = F.col("unit_mass") * F.col("site_factor")
     return out.select(

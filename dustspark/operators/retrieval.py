@@ -33,10 +33,16 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return tokenized(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_len"))
 
 
+def _exploded(docs: DataFrame) -> DataFrame:
+    # the outer form keeps the optimizer from tokenising once more to skip empty documents
+    return tokenized(docs).select("doc_id", "dl", F.explode_outer("toks").alias("term")) \
+        .filter(F.col("term").isNotNull())
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """Term counts per document. Tokens of a document sit in one partition, so they are counted there
     and the exchange carries one row per (document, term)."""
-    return (tokenized(docs).select("doc_id", "dl", F.explode("toks").alias("term"))
+    return (_exploded(docs)
             .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -95,7 +101,7 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = 6) -> DataFra
     """Search without a stored index: only postings of the asked terms are built and shuffled."""
     wanted = query_terms(queries)
     asked = wanted.select("term").distinct()
-    exploded = tokenized(docs).select("doc_id", "dl", F.explode("toks").alias("term"))
+    exploded = _exploded(docs)
     kept = exploded.join(F.broadcast(asked), "term", "left_semi") if is_small(asked) else exploded
     posts = kept.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     return search(Index(posts, term_stats(posts), corpus_stats(docs)), queries, k)
@@ -132,14 +138,14 @@ def chunk_pages(pages: DataFrame, **sizes: int) -> DataFrame:
     """Word-boundary chunks of (source, page, text) rows: adds ``pos`` and replaces ``text``."""
     body = pages.withColumn("_body", T.squeeze_spaces(F.col("text")))
     return body.withColumn("_c", T.word_chunks(F.col("_body"), **sizes)).drop("text", "_body") \
-        .select("*", F.inline("_c")).drop("_c")
+        .select("*", F.inline_outer("_c")).drop("_c").filter(F.col("pos").isNotNull())
 
 
 def chunk_fixed(docs: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
     """Fixed windows of documents, blank pieces dropped."""
     body = docs.withColumn("_body", T.strip(F.col("text")))
     return body.withColumn("_c", T.fixed_chunks(F.col("_body"), size, overlap)).drop("text", "_body") \
-        .select("*", F.inline("_c")).drop("_c")
+        .select("*", F.inline_outer("_c")).drop("_c").filter(F.col("pos").isNotNull())
 
 
 def corpus_union(literature: DataFrame, facts: DataFrame, *notes: DataFrame) -> DataFrame:

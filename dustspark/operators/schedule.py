@@ -60,7 +60,8 @@ def project(rollup: DataFrame, plants: DataFrame) -> DataFrame:
         "adaptive": _walk(F.col("days"), F.col("start_exposure"),
                           lambda i, loss, severe: (loss >= threshold) | (severe & (loss >= threshold * 0.6)))})
     rows = both.select(
-        *plant, F.inline(F.arrays_zip("days", "fixed", "adaptive"))).select(
+        # the outer form keeps the optimizer from folding once more to test for empty series
+        *plant, F.inline_outer(F.arrays_zip("days", "fixed", "adaptive"))).select(
         *plant, "days.*", F.inline(F.array(
             F.struct(F.lit("fixed").alias("schedule"), F.col("fixed").alias("o")),
             F.struct(F.lit("adaptive").alias("schedule"), F.col("adaptive").alias("o"))))).select(

@@ -163,6 +163,7 @@ def sql(ctes: str, body: str, extra: str = "", recursive: bool = False) -> str:
     for name in ctes.split():
         need(name)
     parts = [f"{n} AS ({CTES[n][1]})" for n in ordered] + ([extra.strip().rstrip(",")] if extra else [])
+    # a body may go on with further expressions by starting with a comma
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body if parts else body
 
 

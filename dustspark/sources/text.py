@@ -85,7 +85,7 @@ def split_pages(docs: DataFrame) -> DataFrame:
     marked = F.arrays_zip(numbers.alias("page"), F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(1))).alias("text"))
     whole = F.array(F.struct(F.lit(1).alias("page"), F.col("text").alias("text")))
     pages = F.when(F.size(bodies) > 1, marked).otherwise(whole)
-    return docs.withColumn("_p", pages).drop("text").select("*", F.inline("_p")).drop("_p")
+    return docs.withColumn("_p", pages).drop("text").select("*", F.inline_outer("_p")).drop("_p")
 
 
 def read_page_texts(spark: SparkSession, path: str) -> DataFrame:
