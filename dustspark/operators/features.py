@@ -133,8 +133,7 @@ def training_table(daily: DataFrame, labels: DataFrame) -> DataFrame:
             cols[f"{c}_{n}d_{how}"] = Wn.rolling_strict(F.col(c), n, how, w)
     for c in C.TRAINING_EXPANDING:
         if c in daily.columns:
-            seen_null = F.count_if(F.col(c).isNull()).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0
-            cols[f"{c}_expmean"] = F.when(~seen_null, Wn.expanding_mean(F.col(c), w))
+            cols[f"{c}_expmean"] = Wn.expanding_mean_strict(F.col(c), w)
     cols["target_loss"] = F.lead("soiling_loss_pct").over(w)
     cols["target_deposition"] = F.lead("deposition").over(w)
     return joined.withColumns(cols).dropna(how="any")

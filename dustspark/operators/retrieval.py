@@ -109,8 +109,9 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = 6) -> DataFra
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The best ``k`` rows per query. The rank filter is applied before the exchange as well, so a query
-    which matches every document ships at most ``k`` rows per task."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    which matches every document ships at most ``k`` rows per task. Scores count as equal up to nine
+    decimals, so copies of a document stay in document order whatever the order of summation."""
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
     return scored.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 

@@ -36,15 +36,23 @@ def rolling_strict(value: Column, rows: int, how: str, w: WindowSpec) -> Column:
     frame = w.rowsBetween(-(rows - 1), 0)
     if how == "max":
         return F.max(value).over(frame)
-    seen_null = F.count_if(value.isNull()).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0
     out = F.avg(value).over(frame) if how == "mean" else F.sum(value).over(frame)
-    return F.when(~seen_null, out)
+    return F.when(~_null_so_far(value, w), out)
+
+
+def _null_so_far(value: Column, w: WindowSpec) -> Column:
+    return F.count_if(value.isNull()).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0
 
 
 def expanding_mean(value: Column, w: WindowSpec) -> Column:
     return F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
+def expanding_mean_strict(value: Column, w: WindowSpec) -> Column:
+    """Expanding mean which is null from the first null of the site onwards."""
+    return F.when(~_null_so_far(value, w), expanding_mean(value, w))
+
+
 def lagged(value: Column, rows: int, w: WindowSpec) -> Column:
     return F.coalesce(F.lag(value, rows).over(w), F.lit(0.0))
 

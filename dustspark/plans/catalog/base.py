@@ -144,7 +144,7 @@ CTES: dict[str, tuple[str, str]] = {
         lambda t: length(t) > 1 AND NOT list_contains([{stop}], t)) AS toks FROM benchmark""".replace(
             "{stop}", ", ".join(f"'{w}'" for w in C.STOP_WORDS))),
     "qterms": ("qtok", "SELECT query_id, term, 1+0.5::DOUBLE*count(*)/max(len(toks)) AS q_weight FROM (SELECT query_id, toks, unnest(toks) AS term FROM qtok) GROUP BY 1, 2"),
-    "hits": ("posts idfs qterms stats", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM (
+    "hits": ("posts idfs qterms stats", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM (
         SELECT query_id, doc_id, sum(q_weight*idf*(tf*2.5::DOUBLE)/(tf+1.5::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*dl/avg_len))) AS score
         FROM qterms JOIN posts USING (term) JOIN idfs USING (term), stats GROUP BY 1, 2)) WHERE score > 0 AND pos <= 6"""),
 }

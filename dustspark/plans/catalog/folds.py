@@ -156,13 +156,13 @@ def projected(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("f3_schedule_projection", "F3 W20 X8", sql(
-    "rollup sites clim candidates", """SELECT site_id, schedule, date, round(loss_pct,4) AS loss_pct, round(exposure,8) AS exposure, cleaned,
+    "rollup sites clim candidates", """SELECT site_id, schedule, date, round(loss_pct,4) AS loss_pct, round(exposure,2) AS exposure, cleaned,
       dust_risk, round(lost_sar,2) AS lost_sar, round(-9*ln(greatest(1e-6,1-least(greatest(loss_pct,0),99)/100)),4) AS dust_mass_g_m2
     FROM projected""", SCHEDULE_SQL, recursive=True))
 def schedule_projection(spark: SparkSession, d: str) -> DataFrame:
     return rounded(projected(spark, d).select(
         "site_id", "schedule", "date", "loss_pct", "exposure", "cleaned", "dust_risk", "lost_sar", "dust_mass_g_m2"),
-        4, lost_sar=2, exposure=8)
+        4, lost_sar=2, exposure=2)
 
 
 @query("a13_schedule_totals", "A13", sql(
