@@ -39,6 +39,11 @@ def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
         F.round(F.col(c), special.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def settled(value: Column, digits: int) -> Column:
+    """Rounding for values with few decimals: a nudge keeps exact halves from depending on the last bit."""
+    return F.round(value + 1e-9, digits)
+
+
 def pick(df: DataFrame, *columns: str | Column, digits: int = 4) -> DataFrame:
     return rounded(df.select(*columns), digits)
 

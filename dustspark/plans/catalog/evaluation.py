@@ -109,7 +109,8 @@ def probability(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PROBS = "[" + ",".join(repr(p) for p in EV.sweep_probs()) + "]::DOUBLE[]"
-_SWEEP = f""", v AS (SELECT y, p FROM scored WHERE date >= DATE '2000-01-01' AND date < DATE '2001-01-01'), q AS (SELECT DISTINCT unnest(quantile_cont(p, {_PROBS})) AS threshold FROM v),
+_SWEEP = f""", v AS (SELECT y, p FROM scored WHERE date >= DATE '2000-01-01' AND date < DATE '2001-01-01'), l AS (SELECT list_sort(list(p)) AS l FROM v), h AS (SELECT unnest(list_transform({_PROBS}, lambda g: g*(len(l)-1))) AS h, l FROM l),
+    q AS (SELECT DISTINCT l[CAST(floor(h) AS BIGINT)+1]+(l[CAST(ceil(h) AS BIGINT)+1]-l[CAST(floor(h) AS BIGINT)+1])*(h-floor(h)) AS threshold FROM h),
     c AS (SELECT threshold, count(*) FILTER (y=1 AND p >= threshold) AS tp, count(*) FILTER (y=0 AND p >= threshold) AS fp, count(*) FILTER (y=1 AND p < threshold) AS fn, count(*) FILTER (y=0 AND p < threshold) AS tn FROM v, q GROUP BY 1),
     s AS (SELECT *, coalesce(2*(tp/nullif(tp+fp,0))*(tp/nullif(tp+fn,0))/nullif(tp/nullif(tp+fp,0)+tp/nullif(tp+fn,0),0),0) AS f1, tp/nullif(tp+fn,0) AS recall FROM c) """
 

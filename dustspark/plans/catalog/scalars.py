@@ -80,12 +80,12 @@ def balance_kernel(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("x21_batch_economics", "X21", sql("daily", """SELECT site_id, date, round(0.99::DOUBLE*loss/100,6) AS value_lost_day, round(0.99::DOUBLE*loss/100*365,7) AS value_lost_year, round(be,4) AS break_even_pct, round(rate,6) AS rate_pct_per_day,
-      round(least(greatest(least(100,loss+rate*7*0.5::DOUBLE)/be,0),1),6) AS urgency, CAST(CASE WHEN loss >= be THEN 0 ELSE least(greatest(ceil((be-loss)/greatest(rate,1e-6)),0),365) END AS INTEGER) AS days_until_clean
+      round(least(greatest(least(100,loss+rate*7*0.5::DOUBLE)/be,0),1),9) AS urgency, CAST(CASE WHEN loss >= be THEN 0 ELSE least(greatest(ceil((be-loss)/greatest(rate,1e-6)),0),365) END AS INTEGER) AS days_until_clean
     FROM (SELECT *, greatest(loss/greatest(dsc,1),0.05::DOUBLE) AS rate, 1.0::DOUBLE/(5.5::DOUBLE*0.18::DOUBLE*7)*100 AS be FROM (SELECT site_id, date, aod_mean*ghi_mj_m2 AS loss, tmean_c-15 AS dsc FROM daily))"""))
 def batch_economics(spark: SparkSession, d: str) -> DataFrame:
     n = X.daily(spark, d)
     e = SG.batch_economics(F.col("aod_mean") * F.col("ghi_mj_m2"), F.col("tmean_c") - 15)
-    digits = {"value_lost_day": 6, "value_lost_year": 7, "break_even_pct": 4, "rate_pct_per_day": 6, "urgency": 6}
+    digits = {"value_lost_day": 6, "value_lost_year": 7, "break_even_pct": 4, "rate_pct_per_day": 6, "urgency": 9}
     return n.select("site_id", "date", *[(F.round(c, digits[k]) if k in digits else c).alias(k) for k, c in e.items()])
 
 

@@ -1 +1,94 @@
-"""."""
+"""Streaming queries: a finite stream of files is run to its end and its sink is read back."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dustspark.operators import schedule as SC
+from dustspark.operators.features import with_threshold
+from dustspark.plans.catalog.base import query, rounded, sql
+from dustspark.sources import fixtures as X
+from dustspark.streaming import live as L
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder: under the cluster's checkpoint folder, or a local temporary one when that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{next(_COUNT)}"
+    return tempfile.mkdtemp(prefix="dustspark-stream-")
+
+
+def _numbers():
+    n = 0
+    while True:
+        yield n
+        n += 1
+
+
+_COUNT = _numbers()
+_LATENESS = "60 days"
+
+
+def _hour_files(spark: SparkSession, d: str, folder: str, twice: bool = False) -> DataFrame:
+    hours = X.hourly(spark, d)
+    # a closing observation per stream moves the watermark past the last real day
+    last = hours.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("site_id"), (F.col("ts") + F.expr("interval 120 days")).alias("ts"))
+    rows = hours.unionByName(last, allowMissingColumns=True)
+    if twice:
+        rows = rows.unionByName(hours)
+    rows.repartitionByRange(4, "ts").write.mode("overwrite").parquet(f"{folder}/in")
+    return rows
+
+
+_DAYS = """SELECT site_id, CAST(ts AS DATE) AS date, count(*) AS hours, round(avg(pm10),6) AS pm10_ugm3, round(avg(dust_ugm3),6) AS dust_ugm3, round(avg(aod),6) AS aod,
+      round(sum(coalesce(ghi_wm2,0))/1000,6) AS irradiation_kwh_m2, round(max(temp_c),6) AS tair_max_c FROM hourly GROUP BY 1, 2"""
+
+
+def _run_daily(spark: SparkSession, d: str, twice: bool) -> DataFrame:
+    folder = scratch(spark)
+    rows = _hour_files(spark, d, folder, twice)
+    stream = L.watch_hours(spark, f"{folder}/in", rows.schema, files_per_trigger=1 if not twice else None)
+    # the files come in no particular order, so the lateness spans the record
+    days = L.daily_stream(L.unique_hours(stream, _LATENESS) if twice else stream, _LATENESS)
+    L.run_available(days, f"{folder}/out", f"{folder}/ckpt")
+    return rounded(spark.read.parquet(f"{folder}/out").filter(F.col("site_id") >= 0), 6)
+
+
+@query("r1_daily_stream", "R1", sql("hourly", _DAYS))
+def daily_stream(spark: SparkSession, d: str) -> DataFrame:
+    return _run_daily(spark, d, twice=False)
+
+
+@query("r2_deduplicated_stream", "R2", sql("hourly", _DAYS))
+def deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    return _run_daily(spark, d, twice=True)
+
+
+@query("r3_site_state_stream", "R3", sql("rollup sites clim thresholds", """, d AS (SELECT r.site_id, r.date, r.precip_mm, f, x.pm10_max, threshold, row_number() OVER (PARTITION BY r.site_id ORDER BY r.date)-1 AS i
+      FROM (SELECT rollup.site_id, date, precip_mm, {f} AS f FROM rollup JOIN sites s ON s.site_id=rollup.site_id JOIN clim USING (climate)) r JOIN daily x ON x.site_id=r.site_id AND x.date=r.date JOIN thresholds t ON t.site_id=r.site_id),
+    fold AS (SELECT DISTINCT site_id, -1::BIGINT AS i, 0.0::DOUBLE AS e FROM d UNION ALL
+      SELECT d.site_id, d.i, CASE WHEN d.precip_mm >= 5 THEN least(400, fold.e+d.f)*0.15::DOUBLE ELSE least(400, fold.e+d.f) END FROM fold JOIN d ON d.site_id=fold.site_id AND d.i=fold.i+1)
+    SELECT d.site_id, d.date, round(e+1e-9,4) AS exposure, CAST(least(coalesce(d.i-max(CASE WHEN precip_mm >= 1 THEN d.i END) OVER (PARTITION BY d.site_id ORDER BY d.i ROWS UNBOUNDED PRECEDING),120),120) AS INTEGER) AS days_since_rain,
+      pm10_max >= threshold AS storm_alert FROM d JOIN fold ON fold.site_id=d.site_id AND fold.i=d.i""".replace(
+          "{f}", __import__("dustspark.plans.catalog.base", fromlist=["x"]).sql_dust_factor()), recursive=True))
+def site_state(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch(spark)
+    outlook = SC.dust_outlook(X.rollup(spark, d), X.sites(spark, d)).select("site_id", "date", "dust_factor", "precip_mm")
+    limits = with_threshold(X.daily(spark, d), X.VAL_START).select("site_id", "date", "pm10_max", "threshold")
+    days = outlook.join(limits, ["site_id", "date"])
+    days.repartitionByRange(4, "date").write.mode("overwrite").parquet(f"{folder}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, L.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+        L.run_available(L.site_state_stream(stream), f"{folder}/out", f"{folder}/ckpt")
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.parquet(f"{folder}/out")
+    return out.withColumn("exposure", F.round(F.col("exposure") + 1e-9, 4))

@@ -14,7 +14,7 @@ from dustspark.operators import mass_balance as MB
 from dustspark.operators import schedule as SC
 from dustspark.operators import windows as W
 from dustspark.plans import reports as RP
-from dustspark.plans.catalog.base import pick, query, rounded, sql, sql_dust_factor
+from dustspark.plans.catalog.base import pick, query, rounded, settled, sql, sql_dust_factor
 from dustspark.sources import fixtures as X
 
 _ROLL = ["pm10_max_3d", "pm10_max_7d", "pm10_max_30d", "dust_mean_7d", "dust_mean_30d", "gust_max_7d", "gust_max_30d",
@@ -82,11 +82,11 @@ def carry_forward(spark: SparkSession, d: str) -> DataFrame:
     return pick(out, "site_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "pm10", "aod", "dust_ugm3", digits=6)
 
 
-@query("w12_mean_dust_factor", "W12 X6", sql("rollup sites clim", f"""SELECT site_id, date, round(f,10) AS dust_factor, round(avg(f) OVER (PARTITION BY site_id ORDER BY date ROWS 6 PRECEDING),10) AS mean_factor FROM (
+@query("w12_mean_dust_factor", "W12 X6", sql("rollup sites clim", f"""SELECT site_id, date, round(f+1e-9,4) AS dust_factor, round(avg(f) OVER (PARTITION BY site_id ORDER BY date ROWS 6 PRECEDING)+1e-9,4) AS mean_factor FROM (
       SELECT r.site_id, date, {sql_dust_factor()} AS f FROM rollup r JOIN sites s ON s.site_id=r.site_id JOIN clim USING (climate))"""))
 def mean_dust_factor(spark: SparkSession, d: str) -> DataFrame:
     out = SC.mean_factor(SC.dust_outlook(X.rollup(spark, d), X.sites(spark, d)))
-    return rounded(out.select("site_id", "date", "dust_factor", "mean_factor"), 10)
+    return out.select("site_id", "date", settled(F.col("dust_factor"), 4).alias("dust_factor"), settled(F.col("mean_factor"), 4).alias("mean_factor"))
 
 
 @query("w17_recent_turns", "W17", """SELECT conv_id, turn, role, left(text, 4000) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
