@@ -19,8 +19,14 @@ def finite(value: Column, default: float | None = None) -> Column:
     return x if default is None else F.coalesce(x, F.lit(float(default)))
 
 
+def at_least(value: Column, low: float) -> Column:
+    """The value, but not below ``low``; null stays null (``greatest`` alone would skip it)."""
+    return F.when(value < low, F.lit(float(low))).otherwise(value)
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """The value within [low, high]; null stays null."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))))
 
 
 def nonzero(value: Column, default: Column | float) -> Column:

@@ -16,7 +16,7 @@ def arc_km(dlat: Column, dlon: Column, cos_product: Column) -> Column:
     """Great-circle length from angle differences (radians) and the product of the latitude cosines."""
     a, b = F.sin(dlat / 2), F.sin(dlon / 2)
     h = a * a + cos_product * b * b
-    return 2 * C.EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * C.EARTH_RADIUS_KM * F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h)))
 
 
 def in_box(lat: Column, lon: Column, box: dict[str, float] = C.BBOX) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dustspark import constants as C
+from dustspark.functions.cleaning import at_least
 
 
 # ---- label model
@@ -27,7 +28,7 @@ def dust_factor_today(days_since_rain: Column, rate: Column) -> Column:
 
 
 def cell_temp_c(tair_c: Column, ghi_wm2: Column) -> Column:
-    return tair_c + (C.NOCT_C - 20.0) / 800.0 * F.greatest(F.lit(0.0), ghi_wm2)
+    return tair_c + (C.NOCT_C - 20.0) / 800.0 * at_least(ghi_wm2, 0.0)
 
 
 def label_performance_ratio(tair_c: Column, ghi_wm2: Column, loss_pct: Column) -> Column:
@@ -49,18 +50,18 @@ def is_storm(pm10_max: Column, threshold: Column) -> Column:
 
 # ---- mass-balance kernel
 def wind_deposition(wind_kmh: Column) -> Column:
-    ms = F.greatest(wind_kmh, F.lit(0.5)) / 3.6
+    ms = at_least(wind_kmh, 0.5) / 3.6
     z = F.ln(ms / C.WIND_PEAK_MS) / C.WIND_SIGMA
     return C.WIND_FLOOR + (1.0 - C.WIND_FLOOR) * F.exp(-0.5 * z * z)
 
 
 def deposition_flux(pm10: Column, wind_kmh: Column, factor: Column | float = 1.0) -> Column:
     factor = factor if isinstance(factor, Column) else F.lit(float(factor))
-    return C.V_SCALE * factor * wind_deposition(wind_kmh) * F.pow(F.greatest(pm10, F.lit(5.0)) / 100.0, F.lit(C.P_EXP))
+    return C.V_SCALE * factor * wind_deposition(wind_kmh) * F.pow(at_least(pm10, 5.0) / 100.0, F.lit(C.P_EXP))
 
 
 def cementation(rh_pct: Column) -> Column:
-    return 1.0 + C.CEMENT_BETA * F.greatest(rh_pct - C.CEMENT_RH_REF, F.lit(0.0)) / 60.0
+    return 1.0 + C.CEMENT_BETA * at_least(rh_pct - C.CEMENT_RH_REF, 0.0) / 60.0
 
 
 def mass_loss_pct(mass: Column, rh_pct: Column) -> Column:

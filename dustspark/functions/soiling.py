@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dustspark import constants as C
-from dustspark.functions.cleaning import clamp, nonzero
+from dustspark.functions.cleaning import at_least, clamp, nonzero
 
 
 def dust_factor(pm10: Column, dust: Column, wind: Column, gust: Column, rh: Column,
@@ -26,8 +26,8 @@ def dust_factor(pm10: Column, dust: Column, wind: Column, gust: Column, rh: Colu
 
 
 def loss_pct(exposure: Column, lmax: Column, tau: Column) -> Column:
-    raw = lmax * (1.0 - F.exp(-F.greatest(F.lit(0.0), exposure) / tau))
-    return 100.0 * F.least(F.lit(C.MAX_LOSS_FRAC), raw)
+    raw = lmax * (1.0 - F.exp(-at_least(exposure, 0.0) / tau))
+    return 100.0 * F.when(raw > C.MAX_LOSS_FRAC, C.MAX_LOSS_FRAC).otherwise(raw)
 
 
 def mass_from_loss(loss: Column) -> Column:

@@ -31,8 +31,7 @@ def squeeze_layout(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-cased tokens without stop words and single characters; duplicates are kept."""
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({C.TOKEN_PATTERN})"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in C.STOP_WORDS])
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*C.STOP_WORDS))
 
 
 def strip_markdown(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dustspark.functions.cleaning import clamp
 from dustspark.operators.ranks import cumulative_counts, interpolated_quantiles, running_number
 
 
@@ -113,7 +114,7 @@ def classification_report(rows: DataFrame, threshold: Column | float, by: list[s
 
 def probability_scores(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Brier score, log-loss (clipped) and the Brier score of the constant base rate."""
-    p = F.least(F.greatest("p", F.lit(1e-12)), F.lit(1 - 1e-12))
+    p = clamp(F.col("p"), 1e-12, 1 - 1e-12)
     y = F.col("y").cast("double")
     out = rows.groupBy(*(by or [])).agg(
         F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"),

@@ -9,6 +9,7 @@ from dustspark import constants as C
 from dustspark.functions import physics as P
 from dustspark.functions.cleaning import finite
 from dustspark.operators import windows as Wn
+from dustspark.operators.policy import with_site_columns
 from dustspark.operators.series import fold
 from dustspark.sources.dimensions import region_factors, region_targets
 
@@ -61,7 +62,7 @@ def counters(prepared: DataFrame, interval: int = C.BALANCE_INTERVAL) -> DataFra
 def balance_series(prepared: DataFrame, interval: int = C.BALANCE_INTERVAL) -> DataFrame:
     """One row per site: its days and the unit mass (site factor 1) after each of them."""
     fields = F.struct("date", (F.col("_rn") - 1).alias("i"), "unit_flux", "kept", "rh_mean_pct")
-    series = prepared.groupBy("site_id").agg(F.array_sort(F.collect_list(fields)).alias("days"))
+    series = prepared.groupBy("site_id").agg(F.sort_array(F.collect_list(fields)).alias("days"))
 
     def step(mass: Column, day: Column) -> tuple[Column, Column]:
         grown = mass * day["kept"] + day["unit_flux"]
@@ -75,7 +76,8 @@ def mass_balance(prepared: DataFrame, factors: DataFrame, interval: int = C.BALA
     """Daily deposition, mass and loss. Mass is linear in the site factor, so the fold runs once for
     factor 1 and is scaled."""
     rows = balance_series(prepared, interval).select("site_id", F.inline_outer(F.arrays_zip("days", "unit_mass")))
-    out = rows.select("site_id", "days.*", "unit_mass").join(factors.select("site_id", "site_factor"), "site_id")
+    out = rows.select("site_id", "days.*", "unit_mass")
+    out = with_site_columns(out, factors.select("site_id", "site_factor"))
     mass = F.col("unit_mass") * F.col("site_factor")
     return out.select(
         "site_id", "date", (F.col("unit_flux") * F.col("site_factor")).alias("deposition"), mass.alias("mass"),
@@ -92,7 +94,7 @@ def calibrate(prepared: DataFrame, sites: DataFrame, interval: int = C.BALANCE_I
     out = balance_series(prepared, interval).select("site_id", F.zip_with(
         "unit_mass", "days",
         lambda m, d: C.K_LOSS * m * P.cementation(d["rh_mean_pct"])).alias("k"))
-    out = out.join(sites.select("site_id", "region"), "site_id").join(targets, "region", "left").withColumn(
+    out = with_site_columns(out, sites.select("site_id", "region")).join(targets, "region", "left").withColumn(
         "target_loss_pct", F.coalesce("target_loss_pct", F.lit(C.UNKNOWN_TARGET_LOSS)))
     out = out.withColumns({"_lo": F.lit(low), "_hi": F.lit(high)})
 

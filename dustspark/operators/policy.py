@@ -21,6 +21,16 @@ def with_climate(df: DataFrame, fallback: str | None = None) -> DataFrame:
     return df.withColumn("climate", F.when(known, F.col("climate")).otherwise(fallback)).join(dim, "climate")
 
 
+def with_site_columns(days: DataFrame, sites: DataFrame) -> DataFrame:
+    """Days joined with their site's row, partitioned by site.
+
+    The per-site windows and folds which follow need the days hashed on the site anyway, so the join
+    uses that exchange (building the table on the one-row-per-site side) instead of a broadcast: it
+    needs no size bound, and a small site table never decides how many tasks the days get.
+    """
+    return days.join(sites.hint("shuffle_hash"), "site_id")
+
+
 def day_factor(bias: Column | None = None) -> Column:
     return S.dust_factor(F.col("pm10_ugm3"), F.col("dust_ugm3"), F.col("wind_max_ms"), F.col("gust_max_ms"),
                          F.col("rh_mean_pct"), F.col("irradiation_kwh_m2"),
@@ -52,7 +62,7 @@ def observed_intervals(rollup: DataFrame, sites: DataFrame,
     on site, so the shuffle does not grow with the number of candidates.
     """
     w = Window.partitionBy("site_id").orderBy("date")
-    days = with_climate(rollup.join(sites.select("site_id", "climate", "capacity_kwp"), "site_id"))
+    days = with_climate(with_site_columns(rollup, sites.select("site_id", "climate", "capacity_kwp")))
     days = days.withColumn("i", F.row_number().over(w) - 1).select(
         "site_id", "date", "i", "capacity_kwp", "lmax", "tau", day_factor().alias("factor"),
         (F.col("capacity_kwp") * S.day_irradiation(F.col("irradiation_kwh_m2"), F.col("peak_ghi_wm2"))
@@ -96,7 +106,7 @@ def year_by_climate(spark: SparkSession) -> DataFrame:
         (S.year_irradiation(F.col("doy"), F.col("irr_summer"), F.col("irr_winter")) * F.col("year_pr")).alias("kwh"))
     series = days.groupBy("climate").agg(
         F.first("lmax").alias("lmax"), F.first("tau").alias("tau"),
-        F.array_sort(F.collect_list(F.struct("i", "f", "kwh"))).alias("days"))
+        F.sort_array(F.collect_list(F.struct("i", "f", "kwh"))).alias("days"))
     arms = series.crossJoin(F.broadcast(policy_candidates(spark)))
     return arms.select("climate", "ord", "kind", "interval_days", "threshold_pct",
                        F.size("days").alias("n_days"), year_totals(F.col("days")).alias("t")) \

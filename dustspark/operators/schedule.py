@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dustspark import constants as C
 from dustspark.functions import soiling as S
-from dustspark.operators.policy import day_factor, with_climate
+from dustspark.operators.policy import day_factor, with_climate, with_site_columns
 from dustspark.operators.series import fold
 
-_STATE = "struct<exposure:double,severe:boolean>"
-_OUT = "struct<loss:double,exposure:double,act:boolean>"
+_STATE = "struct<exposure:double,severe:boolean,n:int>"
+_OUT = "struct<exposure:double,act:boolean>"
 
 
-def _walk(days: Column, start: Column, act: callable) -> Column:
-    """Exposure fold: add the day's factor, wash by heavy rain, then clean if ``act(i, loss, severe)``."""
-    lmax, tau = F.col("lmax"), F.col("tau")
+def _exposure_at(loss: Column | float, lmax: Column, tau: Column) -> Column:
+    """Exposure at which the loss reaches a value; never for values above the ceiling."""
+    loss = loss if isinstance(loss, Column) else F.lit(float(loss))
+    return F.when(loss > 100.0 * C.MAX_LOSS_FRAC, float("inf")).otherwise(-tau * F.ln(1.0 - loss / (100.0 * lmax)))
+
+
+def _walk(days: Column, start: Column, act: Callable[[Column, Column, Column], Column]) -> Column:
+    """Exposure fold: add the day's factor, wash by heavy rain, then clean if ``act(n, exposure, severe)`` on the n-th day.
 
+    Loss grows with exposure, so every loss threshold is an exposure threshold, worked out once per row;
+    the loop itself only adds and compares.
+    """
     def step(state: Column, day: Column) -> tuple[Column, Column]:
-        grown = F.least(F.lit(C.MAX_EXPOSURE), state["exposure"] + day["f"])
-        exposure = F.when(day["precip_mm"] >= C.RAIN_WASHOFF_MM, grown * C.RAIN_WASHOFF_KEEP).otherwise(grown)
-        loss = S.loss_pct(exposure, lmax, tau)
-        clean = act(day["i"], loss, state["severe"])
-        left = F.when(clean, 0.0).otherwise(exposure)
-        severe = day["risk"] + S.loss_risk_score(loss) >= 5
-        return (F.struct(left.alias("exposure"), severe.alias("severe")),
-                F.struct(loss.alias("loss"), left.alias("exposure"), clean.alias("act")))
+        exposure = day["keep"] * F.least(F.lit(C.MAX_EXPOSURE), state["exposure"] + day["f"])
+        clean = act(state["n"], exposure, state["severe"])
+        return (F.struct(F.when(clean, 0.0).otherwise(exposure).alias("exposure"),
+                         (exposure >= day["severe_at"]).alias("severe"), (state["n"] + 1).alias("n")),
+                F.struct(exposure.alias("exposure"), clean.alias("act")))
+
+    return fold(days, F.struct(start.alias("exposure"), F.lit(False).alias("severe"), F.lit(1).alias("n")), _STATE, _OUT, step)
 
-    return fold(days, F.struct(start.alias("exposure"), F.lit(False).alias("severe")), _STATE, _OUT, step)
+
+def _severe_at(risk: Column) -> Column:
+    """Exposure from which the day counts as severe, given its weather score."""
+    lmax, tau = F.col("lmax"), F.col("tau")
+    return (F.when(risk >= 5, float("-inf")).when(risk >= 4, _exposure_at(12.0, lmax, tau))
+            .when(risk >= 3, _exposure_at(25.0, lmax, tau)).otherwise(float("inf")))
 
 
 def project(rollup: DataFrame, plants: DataFrame) -> DataFrame:
@@ -45,29 +59,36 @@ def project(rollup: DataFrame, plants: DataFrame) -> DataFrame:
              "start_exposure", "cost_per_mwp"]
     risk = S.weather_risk_score(F.col("gust_max_ms"), F.col("pm10_ugm3"), F.col("aod"))
     ratio = S.performance_ratio(F.col("tcell_max_c"), F.col("tair_max_c"), F.col("peak_ghi_wm2"))
-    days = with_climate(rollup.join(known.select(*plant), "site_id")).select(
+    days = with_climate(with_site_columns(rollup, known.select(*plant))).select(
         *plant, "lmax", "tau", "date", day_factor().alias("f"),
         F.coalesce("precip_mm", F.lit(0.0)).alias("precip_mm"), risk.alias("risk"), ratio.alias("perf_ratio"),
+        F.when(F.col("precip_mm") >= C.RAIN_WASHOFF_MM, C.RAIN_WASHOFF_KEEP).otherwise(1.0).alias("keep"),
+        _severe_at(risk).alias("severe_at"),
         S.day_irradiation(F.col("irradiation_kwh_m2"), F.col("peak_ghi_wm2")).alias("irr"))
     series = days.groupBy("site_id").agg(
         *[F.first(c).alias(c) for c in (*plant[1:], "lmax", "tau")],
-        F.array_sort(F.collect_list(F.struct("date", "f", "precip_mm", "risk", "perf_ratio", "irr"))).alias("_d"))
-    series = series.withColumn("days", F.transform("_d", lambda d, i: d.withField("i", i))).drop("_d")
-    threshold = F.col("tuned_threshold_pct")
+        F.sort_array(F.collect_list(F.struct("date", "f", "precip_mm", "risk", "perf_ratio", "irr", "keep", "severe_at")))
+        .alias("days"))
+    tuned = F.col("tuned_threshold_pct")
+    series = series.withColumns({
+        "_early": _exposure_at(tuned * 0.6, F.col("lmax"), F.col("tau")),
+        "_late": _exposure_at(tuned, F.col("lmax"), F.col("tau"))})
     both = series.withColumns({
         "fixed": _walk(F.col("days"), F.col("start_exposure"),
-                       lambda i, loss, severe: F.pmod(i + 1, F.col("interval_days")) == 0),
+                       lambda n, exposure, severe: F.pmod(n, F.col("interval_days")) == 0),
         "adaptive": _walk(F.col("days"), F.col("start_exposure"),
-                          lambda i, loss, severe: (loss >= threshold) | (severe & (loss >= threshold * 0.6)))})
+                          lambda n, exposure, severe: exposure >= F.when(severe, F.col("_early"))
+                          .otherwise(F.col("_late")))})
     rows = both.select(
         # the outer form keeps the optimizer from folding once more to test for empty series
-        *plant, F.inline_outer(F.arrays_zip("days", "fixed", "adaptive"))).select(
-        *plant, "days.*", F.inline(F.array(
-            F.struct(F.lit("fixed").alias("schedule"), F.col("fixed").alias("o")),
-            F.struct(F.lit("adaptive").alias("schedule"), F.col("adaptive").alias("o"))))).select(
+        *plant, "lmax", "tau", F.posexplode_outer(F.arrays_zip("days", "fixed", "adaptive")).alias("i", "z")).select(
+        *plant, "lmax", "tau", "i", "z.days.*", F.inline(F.array(
+            F.struct(F.lit("fixed").alias("schedule"), F.col("z.fixed").alias("o")),
+            F.struct(F.lit("adaptive").alias("schedule"), F.col("z.adaptive").alias("o"))))).select(
         "site_id", "schedule", "date", "i", "capacity_kwp", "cost_per_mwp", "interval_days",
         F.col("f").alias("dust_factor"), "precip_mm", "risk", "perf_ratio", "irr",
-        F.col("o.loss").alias("loss_pct"), F.col("o.exposure").alias("exposure"), F.col("o.act").alias("cleaned"))
+        S.loss_pct(F.col("o.exposure"), F.col("lmax"), F.col("tau")).alias("loss_pct"),
+        F.when(F.col("o.act"), 0.0).otherwise(F.col("o.exposure")).alias("exposure"), F.col("o.act").alias("cleaned"))
     clean_kwh = F.col("capacity_kwp") * F.col("irr") * F.col("perf_ratio")
     lost = clean_kwh * F.col("loss_pct") / 100.0
     return rows.withColumns({
@@ -131,7 +152,7 @@ def adaptive_delta(totals: DataFrame) -> DataFrame:
 
 def dust_outlook(rollup: DataFrame, sites: DataFrame) -> DataFrame:
     """Daily dust risk (no loss term) and dust factor of every site."""
-    days = with_climate(rollup.join(sites.select("site_id", "name", "climate"), "site_id"))
+    days = with_climate(with_site_columns(rollup, sites.select("site_id", "name", "climate")))
     score = S.weather_risk_score(F.col("gust_max_ms"), F.col("pm10_ugm3"), F.col("aod"))
     return days.select("site_id", "name", "climate", "date", "pm10_ugm3", "dust_ugm3", "aod", "wind_max_ms",
                        "gust_max_ms", "precip_mm", S.risk_label(score).alias("risk"),

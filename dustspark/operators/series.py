@@ -17,27 +17,30 @@ BLOCK = 64
 def collect_series(df: DataFrame, keys: list[str], order: str, fields: list[str], name: str = "days") -> DataFrame:
     """One row per key with its rows as an array of structs in ``order``."""
     return df.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias(name))
+        F.sort_array(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias(name))
 
 
 def fold(days: Column, start: Column, state_type: str, out_type: str,
          step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """Run ``step(state, day) -> (state, out)`` over the array and return the array of outs."""
+    """Run ``step(state, day) -> (state, out)`` over the array and return the array of outs.
+
+    The step must return exactly the declared types.
+    """
     acc_type = f"struct<s:{state_type},o:array<{out_type}>>"
     nothing = F.array().cast(f"array<{out_type}>")
     count = F.ceil(F.size(days) / BLOCK).cast("int")
     blocks = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     first = F.struct(start.cast(state_type).alias("s"), nothing.alias("o")).cast(acc_type)
 
+    # no casts inside the loop: a cast of the accumulator would copy the collected outs at every step
     def one(acc: Column, day: Column) -> Column:
         state, out = step(acc["s"], day)
-        return F.struct(state.cast(state_type).alias("s"),
-                        F.concat(acc["o"], F.array(out.cast(out_type))).alias("o")).cast(acc_type)
+        return F.struct(state.alias("s"), F.concat(acc["o"], F.array(out)).alias("o"))
 
     def block(acc: Column, b: Column) -> Column:
         return F.aggregate(
             F.slice(days, b * BLOCK + 1, BLOCK),
-            F.struct(acc["s"].alias("s"), nothing.alias("o")).cast(acc_type), one,
-            lambda a: F.struct(a["s"].alias("s"), F.concat(acc["o"], a["o"]).alias("o")).cast(acc_type))
+            F.struct(acc["s"].alias("s"), nothing.alias("o")), one,
+            lambda a: F.struct(a["s"].alias("s"), F.concat(acc["o"], a["o"]).alias("o")))
 
     return F.aggregate(blocks, first, block)["o"]

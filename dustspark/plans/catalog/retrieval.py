@@ -29,7 +29,7 @@ _TEXT = f"""h2 AS (SELECT page_id, regexp_replace(array_to_string(list_filter(li
 
 @query("s9_html_text", "S9", f"WITH {_BODY}, {_TAGS}, {_TEXT} SELECT page_id, text FROM h2")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return X.pages(spark, d).select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 @query("s10_markdown_links", "S10 X26", f"""SELECT doc_id, md5({_STRIP.format("regexp_replace(regexp_replace(regexp_replace(md, '\\]\\(https?://[^)]+\\)', ']', 'g'), '\\[Image \\d+[^\\]]*\\]', ' ', 'g'), '\\n{3,}', chr(10)||chr(10), 'g')")}) AS digest
@@ -57,7 +57,7 @@ def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
       FROM (SELECT c.*, greatest(c.e-150, c.s+1) AS s2, b, length(b) AS n FROM cut c JOIN h USING (page_id) WHERE c.e < length(b)))
     SELECT page_id, pos, length(piece) AS chars, md5(piece) AS digest FROM (SELECT page_id, pos, trim(substr(b, s+1, e-s)) AS piece FROM cut JOIN h USING (page_id)) WHERE length(piece) >= 60""")
 def word_chunks(spark: SparkSession, d: str) -> DataFrame:
-    pages = X.table(spark, d, "pages").select("page_id", F.col("html").alias("text"))
+    pages = X.pages(spark, d).select("page_id", F.col("html").alias("text"))
     return B.chunk_pages(pages).select("page_id", "pos", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
@@ -108,7 +108,7 @@ def context_blocks(spark: SparkSession, d: str) -> DataFrame:
 def corpus_union(spark: SparkSession, d: str) -> DataFrame:
     docs = X.documents(spark, d).filter(F.col("doc_id") % 3 == 0)
     facts = X.table(spark, d, "benchmark").select(F.lit("facts").alias("source"), "text")
-    notes = X.table(spark, d, "pages").select(F.col("url").alias("source"), F.col("html").alias("text"))
+    notes = X.pages(spark, d).select(F.col("url").alias("source"), F.col("html").alias("text"))
     return B.corpus_union(docs, facts, notes).groupBy("kind", "source").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 

@@ -42,6 +42,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before work which is heavy per row (text).
+
+    A table of many files or row groups has splits enough and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when the frame has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dustspark.session import spread
+
 VAL_START = "2000-01-01"
 TEST_START = "2001-01-01"
 
@@ -85,7 +87,11 @@ def stations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    return spread(table(spark, folder, "documents")).select("doc_id", "text", "source", "lang")
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "pages")).select("page_id", "url", "html")
 
 
 def calls(spark: SparkSession, folder: str) -> DataFrame:
