@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dustspark.functions.cleaning import clamp
-from dustspark.operators.ranks import cumulative_counts, interpolated_quantiles, running_number
+from dustspark.operators.ranks import cumulative_counts, quantiles_of, running_number
 
 
 def time_split(df: DataFrame, val_start: str, test_start: str) -> DataFrame:
@@ -145,26 +145,28 @@ def sweep_probs(points: int = 60, low: float = 0.5, high: float = 0.999) -> list
 def threshold_sweep(rows: DataFrame) -> DataFrame:
     """Confusion scores at up to 60 score quantiles.
 
-    The grid is at most 60 numbers; every row is put between two of them with a binary search and only
-    the 61 interval counts are accumulated, so rows and thresholds are never crossed.
+    The rows are read once, into counts per distinct score. The grid is at most 60 numbers; every score
+    is put between two of them with a binary search and only the 61 interval counts are accumulated, so
+    scores and thresholds are never crossed.
     """
-    grid = interpolated_quantiles(rows, "p", sweep_probs())
+    table = cumulative_counts(rows, "p", {"n": F.count(F.lit(1)), "pos": F.count_if(F.col("y") == 1)})
+    grid = quantiles_of(table, "p", sweep_probs())
     cuts = sorted({r["value"] for r in grid.select("value").collect()})
     splits = [float("-inf"), *cuts, float("inf")]
     if len(splits) < 3:
         return rows.limit(0).selectExpr("0D threshold", "0L tp", "0L fp", "0L fn", "0L tn")
-    placed = Bucketizer(splits=splits, inputCol="p", outputCol="_b").transform(rows.select("y", "p"))
-    counts = placed.groupBy("_b").agg(F.count_if(F.col("y") == 1).alias("_pos"), F.count_if(F.col("y") != 1).alias("_neg"))
+    placed = Bucketizer(splits=splits, inputCol="p", outputCol="_b").transform(table.select("p", "n", "pos"))
+    counts = placed.groupBy("_b").agg(F.sum("pos").alias("_pos"), F.sum(F.col("n") - F.col("pos")).alias("_neg"))
     base = rows.sparkSession.createDataFrame([(float(i), c) for i, c in enumerate([None, *cuts])],
                                              "_b double, threshold double")
     up = Window.orderBy("_b").rowsBetween(0, Window.unboundedFollowing)
     down = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     full = base.join(counts, "_b", "left").na.fill(0, ["_pos", "_neg"])
-    table = full.select(
+    confusion = full.select(
         "threshold", F.sum("_pos").over(up).alias("tp"), F.sum("_neg").over(up).alias("fp"),
         F.coalesce(F.sum("_pos").over(down), F.lit(0)).alias("fn"),
         F.coalesce(F.sum("_neg").over(down), F.lit(0)).alias("tn")).filter(F.col("threshold").isNotNull())
-    return _confusion_scores(table)
+    return _confusion_scores(confusion)
 
 
 def choose_threshold(rows: DataFrame) -> DataFrame:

@@ -43,32 +43,37 @@ def calendar_year(df: DataFrame, year: int = 2026) -> DataFrame:
     return df.select("*", F.posexplode(days).alias("i", "date")).withColumn("doy", F.dayofyear("date"))
 
 
-def interval_exposure(days: DataFrame, factor: str, interval: str, keys: list[str], order: str = "i") -> DataFrame:
-    """Exposure before cleaning under a fixed calendar: a running sum inside each cleaning cycle.
+def interval_exposure(days: DataFrame, factor: str, intervals: tuple[int, ...], order: str = "date") -> DataFrame:
+    """Exposure before cleaning under each fixed calendar: rows of ``days`` per interval.
 
-    The factor is positive, so capping the sum equals capping each step.
+    The exposure is the running sum minus its value at the start of the cleaning cycle, so all intervals
+    share one window over (site, date); the rows are multiplied only afterwards, inside the task. The
+    factor is positive, so capping the sum equals capping each step. Needs ``i``, the zero-based row.
     """
-    cycle = F.floor(F.col(order) / F.col(interval))
-    w = Window.partitionBy(*keys, interval, "_cycle").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return days.withColumn("_cycle", cycle).withColumn(
-        "exposure", F.least(F.lit(C.MAX_EXPOSURE), F.sum(factor).over(w))).drop("_cycle")
+    w = Window.partitionBy("site_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = days.withColumn("_sum", F.sum(factor).over(w))
+    start = F.col("_sum") - F.col(factor)
+    out = out.withColumns({f"_start{k}": F.last(F.when(F.col("i") % k == 0, start), ignorenulls=True).over(w)
+                           for k in intervals})
+    arms = F.array(*[F.struct(
+        F.lit(k).alias("interval_days"),
+        F.least(F.lit(C.MAX_EXPOSURE), F.col("_sum") - F.col(f"_start{k}")).alias("exposure")) for k in intervals])
+    return out.select(*days.columns, F.inline(arms))
 
 
 def observed_intervals(rollup: DataFrame, sites: DataFrame,
                        intervals: tuple[int, ...] = C.INTERVAL_CANDIDATES) -> DataFrame:
     """Loss and energy of every observed day under each fixed interval.
 
-    Rows are numbered per site first; the intervals multiply rows inside the task, after the exchange
-    on site, so the shuffle does not grow with the number of candidates.
+    One exchange on the site and one sort serve the join, the numbering and all intervals.
     """
     w = Window.partitionBy("site_id").orderBy("date")
     days = with_climate(with_site_columns(rollup, sites.select("site_id", "climate", "capacity_kwp")))
     days = days.withColumn("i", F.row_number().over(w) - 1).select(
         "site_id", "date", "i", "capacity_kwp", "lmax", "tau", day_factor().alias("factor"),
         (F.col("capacity_kwp") * S.day_irradiation(F.col("irradiation_kwh_m2"), F.col("peak_ghi_wm2"))
-         * S.performance_ratio(F.col("tcell_max_c"), F.col("tair_max_c"), F.col("peak_ghi_wm2"))).alias("clean_kwh"),
-        F.explode(F.array(*[F.lit(k) for k in intervals])).alias("interval_days"))
-    out = interval_exposure(days, "factor", "interval_days", ["site_id"])
+         * S.performance_ratio(F.col("tcell_max_c"), F.col("tair_max_c"), F.col("peak_ghi_wm2"))).alias("clean_kwh"))
+    out = interval_exposure(days, "factor", intervals)
     loss = S.loss_pct(F.col("exposure"), F.col("lmax"), F.col("tau"))
     return out.withColumn("loss_pct", loss).withColumn("lost_kwh", F.col("clean_kwh") * F.col("loss_pct") / 100.0)
 

@@ -58,10 +58,10 @@ def _positions(table: DataFrame, grid: list[float], position, by: str | None) ->
         rows = table.withColumn("_n", F.lit(table.agg(F.sum("n")).first()[0] or 0))
     entries = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(float(g)).alias("grid")) for i, g in enumerate(grid)])
     placed = F.transform(entries, lambda e: F.struct(
-        e["ord"].alias("ord"), e["grid"].alias("grid"), position(e["grid"], F.col("_n")).alias("pos")))
+        e["ord"].alias("ord"), e["grid"].alias("grid"), position(e["grid"], F.col("_n")).alias("_at")))
     first, after = F.col("n_before"), F.col("n_before") + F.col("n")
-    held = F.filter(placed, lambda e: ((F.floor(e["pos"]) >= first) & (F.floor(e["pos"]) < after))
-                    | ((F.ceil(e["pos"]) >= first) & (F.ceil(e["pos"]) < after)))
+    held = F.filter(placed, lambda e: ((F.floor(e["_at"]) >= first) & (F.floor(e["_at"]) < after))
+                    | ((F.ceil(e["_at"]) >= first) & (F.ceil(e["_at"]) < after)))
     return rows.select(*keys, *[c for c in table.columns if c not in keys], F.inline(held))
 
 
@@ -74,17 +74,21 @@ def nearest_rank(df: DataFrame, value: str, percents: list[float], by: str | Non
 
 def interpolated_quantiles(df: DataFrame, value: str, probs: list[float], by: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles (position p * (n - 1)), one row per probability."""
-    table = cumulative_counts(df, value, by=by)
+    return quantiles_of(cumulative_counts(df, value, by=by), value, probs, by)
+
+
+def quantiles_of(table: DataFrame, value: str, probs: list[float], by: str | None = None) -> DataFrame:
+    """The same from a table of cumulative counts (``n``, ``n_before``)."""
     keys = [by] if by else []
     hits = _positions(table, probs, lambda g, n: g * (n - 1), by)
-    low, high, after = F.floor("pos"), F.ceil("pos"), F.col("n_before") + F.col("n")
+    low, high, after = F.floor("_at"), F.ceil("_at"), F.col("n_before") + F.col("n")
     holds_low = (low >= F.col("n_before")) & (low < after)
     holds_high = (high >= F.col("n_before")) & (high < after)
-    return (hits.groupBy(*keys, "ord", F.col("grid").alias("prob"), "pos")
+    return (hits.groupBy(*keys, "ord", F.col("grid").alias("prob"), "_at")
             .agg(F.max(F.when(holds_low, F.col(value))).alias("_lo"),
                  F.max(F.when(holds_high, F.col(value))).alias("_hi"))
             .select(*keys, "ord", "prob",
-                    (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("pos") - F.floor("pos"))).alias("value")))
+                    (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))).alias("value")))
 
 
 def running_number(df: DataFrame, order: list[str], proxy: Column, name: str = "rn") -> DataFrame:

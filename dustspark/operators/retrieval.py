@@ -47,7 +47,9 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def term_stats(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """Document frequencies. Counted through ``tf``, so that a search which needs the postings as well
+    shares their exchange instead of tokenising twice."""
+    return posts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -71,10 +73,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
         "query_id", "term", (1.0 + 0.5 * F.col("qtf") / F.col("ql")).alias("q_weight"))
 
 
-def _match(posts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _match(posts: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
     """Postings joined with query terms. A few query terms are broadcast; many are joined on the term
     with a salt, so that a term present in every document is spread over many tasks."""
-    if is_small(wanted):
+    if few:
         return posts.join(F.broadcast(wanted), "term")
     salted = posts.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     copies = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
@@ -86,13 +88,15 @@ def bm25(tf: Column, dl: Column, idf_: Column, weight: Column, avg_len: Column,
     return weight * idf_ * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / avg_len))
 
 
-def search(index: Index, queries: DataFrame, k: int = 6) -> DataFrame:
-    """Top ``k`` documents of every query: (query_id, doc_id, score, pos), ties in document order."""
+def search(index: Index, queries: DataFrame, k: int = 6, few: bool | None = None) -> DataFrame:
+    """Top ``k`` documents of every query: (query_id, doc_id, score, pos), ties in document order.
+
+    ``few`` says whether the query terms may be broadcast; by default they are counted.
+    """
     wanted = query_terms(queries)
-    weighted = with_idf(index.terms.join(wanted.select("term").distinct(), "term", "left_semi"), index.stats)
-    scored = _match(index.postings, wanted.join(weighted.select("term", "idf"), "term"))
-    scored = scored.join(F.broadcast(index.stats.select("avg_len")))
-    part = bm25(F.col("tf"), F.col("dl"), F.col("idf"), F.col("q_weight"), F.col("avg_len"))
+    few = is_small(wanted) if few is None else few
+    scored = _match(index.postings, wanted.join(index.terms, "term"), few).join(F.broadcast(index.stats))
+    part = bm25(F.col("tf"), F.col("dl"), idf(F.col("df"), F.col("n")), F.col("q_weight"), F.col("avg_len"))
     totals = scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     return top_k(totals.filter(F.col("score") > 0), k)
 
@@ -100,11 +104,12 @@ def search(index: Index, queries: DataFrame, k: int = 6) -> DataFrame:
 def search_documents(docs: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
     """Search without a stored index: only postings of the asked terms are built and shuffled."""
     wanted = query_terms(queries)
+    few = is_small(wanted)
     asked = wanted.select("term").distinct()
     exploded = _exploded(docs)
-    kept = exploded.join(F.broadcast(asked), "term", "left_semi") if is_small(asked) else exploded
+    kept = exploded.join(F.broadcast(asked), "term", "left_semi") if few else exploded
     posts = kept.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return search(Index(posts, term_stats(posts), corpus_stats(docs)), queries, k)
+    return search(Index(posts, term_stats(posts), corpus_stats(docs)), queries, k, few)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
