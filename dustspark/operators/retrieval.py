@@ -68,7 +68,8 @@ def build_index(docs: DataFrame) -> Index:
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct terms of each query with their weight 1 + qtf / (2 * query length)."""
     toks = queries.select("query_id", T.tokens(F.col("query")).alias("toks"))
-    exploded = toks.select("query_id", F.size("toks").alias("ql"), F.explode("toks").alias("term"))
+    exploded = toks.select("query_id", F.size("toks").alias("ql"), F.explode_outer("toks").alias("term")) \
+        .filter(F.col("term").isNotNull())
     return exploded.groupBy("query_id", "ql", "term").agg(F.count(F.lit(1)).alias("qtf")).select(
         "query_id", "term", (1.0 + 0.5 * F.col("qtf") / F.col("ql")).alias("q_weight"))
 
