@@ -9,7 +9,9 @@ from dustspark import constants as C
 from dustspark.functions import text as T
 from dustspark.operators import retrieval as B
 from dustspark.plans.catalog.base import CTES, query, rounded, sql
+from dustspark.session import scratch
 from dustspark.sources import fixtures as X
+from dustspark.sources import index as IX
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -79,6 +81,9 @@ def idf(spark: SparkSession, d: str) -> DataFrame:
     return rounded(B.with_idf(index.terms, index.stats), 6)
 
 
+_OLD, _NEW = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+
+
 _HIT_COLS = "SELECT query_id, doc_id, round(score,3) AS score, pos FROM hits"
 
 
@@ -92,6 +97,20 @@ def indexed_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(B.search(B.build_index(X.documents(spark, d)), asked(spark, d)), 3)
 
 
+@query("b5_refreshed_index", "B5 B3", sql("hits", _HIT_COLS))
+def refreshed_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index is built on other texts for half of the sources, then refreshed with the real ones."""
+    docs = X.documents(spark, d).select("doc_id", "text", F.col("source").alias("file"))
+    half = F.pmod(F.xxhash64("file"), F.lit(2)) == 0
+    before = docs.withColumns({"modified": F.lit(_OLD).cast("timestamp"),
+                               "text": F.when(half, F.lower(F.reverse("text"))).otherwise(F.col("text"))})
+    after = docs.withColumn("modified", F.when(half, F.lit(_NEW)).otherwise(F.lit(_OLD)).cast("timestamp"))
+    folder = scratch(spark)
+    IX.refresh(before, folder)
+    IX.refresh(after, folder)
+    return rounded(B.search(IX.load_index(after, folder), asked(spark, d)), 3)
+
+
 @query("q7_context_blocks", "Q7 B4 W16", sql("hits", """, h AS (SELECT query_id, pos, source, CASE WHEN h.doc_id % 5 = 0 THEN NULL ELSE h.doc_id % 5 END AS page, text,
       coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hits h JOIN documents d ON d.doc_id = h.doc_id)
     SELECT query_id, string_agg('[' || pos || '] ' || source || CASE WHEN page IS NULL THEN '' ELSE ' (p.' || page || ')' END || ':' || chr(10) || left(text, CAST(greatest(0, 4500-before) AS BIGINT)), chr(10)||chr(10) ORDER BY pos) AS context, CAST(count(*) AS INTEGER) AS citations

@@ -13,6 +13,7 @@ from dustspark.operators.profile import complete_rows, key_profile
 from dustspark.operators.retrieval import chunk_pages
 from dustspark.operators.features import storm_thresholds
 from dustspark.plans.catalog.base import pick, query, rounded, sql, values
+from dustspark.session import scratch
 from dustspark.sources import columnar as CO
 from dustspark.sources import fixtures as X
 from dustspark.sources import sinks as K
@@ -234,6 +235,25 @@ def numbered_chunks(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "pos", "id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
+@query("k1_csv_round_trip", "K1 S5", sql("daily_n", "SELECT CAST(site_id AS VARCHAR) AS site, date, round(pm10_max,6) AS pm10_max, round(precip_mm,6) AS precip_mm, dayofyear(date) AS doy FROM daily_n"))
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    days = X.daily(spark, d, with_nulls=True).select(F.col("site_id").alias("site"), "date", "pm10_max", "precip_mm")
+    folder = scratch(spark)
+    K.write_csv(days, folder, ["site", "date"])
+    back = TX.read_daily_csv(spark, folder, ["site", "date", "pm10_max", "precip_mm"])
+    return rounded(back.withColumn("doy", F.col("doy").cast("long")), 6)
+
+
+@query("k5_staged_pulls", "K5", sql("daily", "SELECT site_id, date, round(pm10_mean + CASE WHEN site_id % 3 = 0 THEN 1 ELSE 0 END,6) AS pm10_mean FROM daily"))
+def staged_pulls(spark: SparkSession, d: str) -> DataFrame:
+    days = X.daily(spark, d).select("site_id", "date", "pm10_mean")
+    folder = scratch(spark)
+    K.stage_site_pulls(days.repartition("site_id"), folder)
+    again = days.filter(F.col("site_id") % 3 == 0).withColumn("pm10_mean", F.col("pm10_mean") + 1)
+    K.stage_site_pulls(again.repartition("site_id"), folder)
+    return rounded(spark.read.parquet(folder).withColumn("site_id", F.col("site_id").cast("long")), 6)
+
+
 @query("k6_threshold_table", "K6 A4", sql("thresholds", "SELECT site_id, round(threshold,1) AS threshold FROM thresholds"))
 def threshold_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(storm_thresholds(X.daily(spark, d), X.VAL_START), 1)

@@ -2,60 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustspark.operators import schedule as SC
 from dustspark.operators.features import with_threshold
 from dustspark.plans.catalog.base import query, rounded, sql
+from dustspark.session import scratch
 from dustspark.sources import fixtures as X
 from dustspark.streaming import live as L
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder: under the cluster's checkpoint folder, or a local temporary one when that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{next(_COUNT)}"
-    return tempfile.mkdtemp(prefix="dustspark-stream-")
-
-
-def _numbers():
-    n = 0
-    while True:
-        yield n
-        n += 1
-
-
-_COUNT = _numbers()
 _LATENESS = "60 days"
 
 
-def _hour_files(spark: SparkSession, d: str, folder: str, twice: bool = False) -> DataFrame:
-    hours = X.hourly(spark, d)
-    # a closing observation per stream moves the watermark past the last real day
-    last = hours.agg(F.max("ts").alias("ts")).select(
-        F.lit(-1).cast("long").alias("site_id"), (F.col("ts") + F.expr("interval 120 days")).alias("ts"))
-    rows = hours.unionByName(last, allowMissingColumns=True)
-    if twice:
-        rows = rows.unionByName(hours)
-    rows.repartitionByRange(4, "ts").write.mode("overwrite").parquet(f"{folder}/in")
-    return rows
-
-
 _DAYS = """SELECT site_id, CAST(ts AS DATE) AS date, count(*) AS hours, round(avg(pm10),6) AS pm10_ugm3, round(avg(dust_ugm3),6) AS dust_ugm3, round(avg(aod),6) AS aod,
       round(sum(coalesce(ghi_wm2,0))/1000,6) AS irradiation_kwh_m2, round(max(temp_c),6) AS tair_max_c FROM hourly GROUP BY 1, 2"""
 
 
 def _run_daily(spark: SparkSession, d: str, twice: bool) -> DataFrame:
     folder = scratch(spark)
-    rows = _hour_files(spark, d, folder, twice)
-    stream = L.watch_hours(spark, f"{folder}/in", rows.schema, files_per_trigger=1 if not twice else None)
+    hours = X.hourly(spark, d)
+    rows = hours.unionByName(hours) if twice else hours
+    rows.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    stream = L.watch_hours(spark, f"{folder}/in", rows.schema, files_per_trigger=1)
     # the files come in no particular order, so the lateness spans the record
     days = L.daily_stream(L.unique_hours(stream, _LATENESS) if twice else stream, _LATENESS)
     L.run_available(days, f"{folder}/out", f"{folder}/ckpt")
+    # a closing observation, delivered to the restarted stream, moves the watermark past the last real day
+    hours.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("site_id"), (F.col("ts") + F.expr("interval 120 days")).alias("ts"),
+        *[F.lit(None).cast("double").alias(c) for c in hours.columns if c not in ("site_id", "ts")],
+    ).write.mode("append").parquet(f"{folder}/in")
+    L.run_available(days, f"{folder}/out", f"{folder}/ckpt")
     return rounded(spark.read.parquet(f"{folder}/out").filter(F.col("site_id") >= 0), 6)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_FOLDERS = itertools.count()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder: under the cluster's checkpoint folder, or a local temporary one when that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/dustspark-{spark.sparkContext.applicationId}-{next(_FOLDERS)}"
+    return tempfile.mkdtemp(prefix="dustspark-")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a scan with fewer splits than cores before work which is heavy per row (text).
 

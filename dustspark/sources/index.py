@@ -48,7 +48,7 @@ def refresh(docs: DataFrame, path: str) -> int:
     manifest is appended is simply repeated.
     """
     spark = docs.sparkSession
-    current = docs.select("file", "modified")
+    current = docs.select("file", "modified").distinct()
     known = _state(spark, path)
     fresh = current.join(known.select("file", "modified"), ["file", "modified"], "left_anti")
     gone = known.join(current.select("file"), "file", "left_anti").select("file")

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dustspark.operators import daily as D
-from dustspark.plans.catalog import streams as ST
 from dustspark.plans.catalog import CATALOG
+from dustspark.session import scratch
 from dustspark.sources import fixtures as X
 from dustspark.streaming import live as L
 
@@ -80,5 +80,5 @@ def test_scratch_follows_the_cluster_setting():
         class sparkContext:  # noqa: N801
             applicationId = "app"
 
-    first, second = ST.scratch(Stub), ST.scratch(Stub)
-    assert first.startswith("/shared/area/stream-app-") and first != second
+    first, second = scratch(Stub), scratch(Stub)
+    assert first.startswith("/shared/area/dustspark-app-") and first != second
