@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustspark import constants as C
+from dustspark.plans.catalog.dates import DATED
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +26,18 @@ CATALOG: dict[str, Query] = {}
 
 def query(name: str, covers: str, sql: str | None = None) -> Callable[[Run], Run]:
     """Register a query under a name, with the inventory ids it covers and its SQL, if there is one."""
+    dates = DATED.get(name, ())
+
     def keep(run: Run) -> Run:
         if name in CATALOG:
             raise ValueError(f"query {name!r} is registered twice")
-        CATALOG[name] = Query(run, tuple(covers.split()), sql)
+        shown = run
+        text = sql
+        if dates:
+            def shown(spark: SparkSession, folder: str) -> DataFrame:
+                return run(spark, folder).withColumns({c: F.col(c).cast("string") for c in dates})
+            text = "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates) + f") FROM ({sql})"
+        CATALOG[name] = Query(shown, tuple(covers.split()), text)
         return run
     return keep
 

@@ -78,11 +78,11 @@ def _costs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("f4_policy_candidates", "F4 J15 J16 X10 X12 X18", sql(
-    "sites clim candidates", """SELECT site_id, ord, kind, interval_days, threshold_pct, events, mean_loss_pct, energy_lost_kwh,
+    "sites clim candidates", """SELECT site_id, ord, kind, CAST(interval_days AS DOUBLE) AS interval_days, threshold_pct, events, mean_loss_pct, energy_lost_kwh,
       value_lost_sar, cleaning_cost_sar, water_litres, net_cost_sar FROM costs""", _YEAR, recursive=True))
 def policy_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _costs(spark, d).select(
-        "site_id", "ord", "kind", "interval_days", "threshold_pct", "events", "mean_loss_pct", "energy_lost_kwh",
+        "site_id", "ord", "kind", F.col("interval_days").cast("double").alias("interval_days"), "threshold_pct", "events", "mean_loss_pct", "energy_lost_kwh",
         "value_lost_sar", "cleaning_cost_sar", "water_litres", "net_cost_sar")
 
 

@@ -96,13 +96,13 @@ def climate_parameters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j7_site_resolution", "J7", sql("sites", """, q AS (SELECT DISTINCT lower(right(s_name, 3)) AS query FROM supplier UNION SELECT 'nowhere' UNION SELECT '7')
-    SELECT query, min(site_id) AS site_id FROM (SELECT query, s.site_id FROM q LEFT JOIN sites s ON query = CAST(site_id AS VARCHAR) OR contains(lower(s.name), query)) GROUP BY 1""".replace(", q AS", ", q AS", 1).lstrip()))
+    SELECT query, CAST(min(site_id) AS DOUBLE) AS site_id FROM (SELECT query, s.site_id FROM q LEFT JOIN sites s ON query = CAST(site_id AS VARCHAR) OR contains(lower(s.name), query)) GROUP BY 1""".replace(", q AS", ", q AS", 1).lstrip()))
 def site_resolution(spark: SparkSession, d: str) -> DataFrame:
     s = X.sites(spark, d)
     asked = s.select(F.lower(F.right("name", F.lit(3))).alias("query")).union(
         spark.createDataFrame([("nowhere",), ("7",)], "query string")).distinct()
     found = N.resolve_names(asked, s.select(F.col("site_id").alias("ord"), "site_id", "name"))
-    return found.select("query", F.col("site.site_id").alias("site_id"))
+    return found.select("query", F.col("site.site_id").cast("double").alias("site_id"))
 
 
 _STATION_SITES = """, pts AS (SELECT station_id, lat + (station_id % 7)*0.4::DOUBLE AS lat, lon - (station_id % 5)*0.5::DOUBLE AS lon FROM stations),
@@ -202,14 +202,15 @@ def source_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 _HEALTH = """h AS (SELECT c.c_custkey AS source_id, c.c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN 'API_KEY' ELSE 'open' END AS access,
       CASE WHEN c_custkey % 4 = 0 THEN 'gated' WHEN p.http IS NULL THEN 'unreachable' WHEN http = 200 THEN 'live' WHEN http = 204 THEN 'no_data' ELSE 'error' END AS status,
-      CASE WHEN c_custkey % 4 <> 0 THEN http END AS http, CASE WHEN c_custkey % 4 <> 0 THEN bytes END AS bytes
+      CAST(CASE WHEN c_custkey % 4 <> 0 THEN http END AS DOUBLE) AS http, CAST(CASE WHEN c_custkey % 4 <> 0 THEN bytes END AS DOUBLE) AS bytes
     FROM customer c LEFT JOIN (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 204 ELSE 200 END AS http, CAST(floor(value) AS BIGINT) AS bytes FROM events
       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) p ON p.user_id = c.c_custkey)"""
 
 
 @query("j17_source_health", "J17 Q6", f"WITH {_HEALTH} SELECT * FROM h")
 def source_health(spark: SparkSession, d: str) -> DataFrame:
-    return asof.source_health(*source_tables(spark, d))
+    health = asof.source_health(*source_tables(spark, d))
+    return health.withColumns({c: F.col(c).cast("double") for c in ("http", "bytes")})
 
 
 @query("a22_source_summary", "A22", f"WITH {_HEALTH} SELECT count(*) FILTER (status='live') AS open_live, count(*) FILTER (access='open') AS open_total, count(*) FILTER (status='gated') AS gated FROM h")

@@ -42,7 +42,7 @@ def test_duplicate_delivery_counts_once(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, small):
-    stream = CATALOG["r1_daily_stream"].run(spark, small)
+    stream = CATALOG["r1_daily_stream"].run(spark, small).withColumn("date", F.col("date").cast("date"))
     batch = D.rollup_serving(X.hourly(spark, small)).select(
         "site_id", "date", F.round("pm10_ugm3", 6).alias("pm10_ugm3"), F.round("irradiation_kwh_m2", 6).alias("irradiation_kwh_m2"))
     cols = ["site_id", "date", "pm10_ugm3", "irradiation_kwh_m2"]
