@@ -176,3 +176,14 @@ def test_imputation_counts_out_of_range(spark):
     rows = spark.createDataFrame([(None, 40.0), (float("nan"), 10.0)], "a double, b double")
     got = [tuple(r) for r in PR.impute_with_range_check(rows, ["a", "b"], bounds).collect()]
     assert got == [(2.0, 40.0, 0.5), (0.0, 10.0, 0.5)]
+
+
+def test_conform_gives_one_representation_of_missing(spark):
+    from dustspark import schema as SC
+    raw = spark.createDataFrame([(7, "2024-01-31", "nan", "", "12.5"), (8, "bad", "inf", "None", "1")],
+                                "site_id int, date string, tmax_c string, tmin_c string, pm10_max string")
+    got = SC.conform(raw, SC.DAILY)
+    assert got.columns == [f.split()[0] for f in SC.DAILY.split(", ")]
+    rows = got.orderBy("site_id").collect()
+    assert [(r["site_id"], r["tmax_c"], r["tmin_c"], r["pm10_max"], r["lat"]) for r in rows] == [("7", None, None, 12.5, None), ("8", None, None, 1.0, None)]
+    assert rows[0]["date"] == datetime.date(2024, 1, 31) and rows[1]["date"] is None
