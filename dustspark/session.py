@@ -6,7 +6,6 @@ import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 200_000
 
@@ -66,8 +65,3 @@ def spread(scan: DataFrame) -> DataFrame:
 def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when the frame has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast only behind a row count; otherwise leave the join to AQE (with skew splitting)."""
-    return F.broadcast(df) if is_small(df, limit) else df
