@@ -106,8 +106,9 @@ def trie_links(bits: np.ndarray, side: np.ndarray, unit: np.ndarray, top: np.nda
             continue
         alo, ahi, blo, bhi, spent, own = pairs
         live = (ahi > alo) & (bhi > blo) & (spent <= BUDGET) & ~((own == 1) & (ahi - alo < 2))
-        live &= ~((own == 1) & (stretch[np.maximum(alo, 0)] == stretch[np.maximum(ahi - 1, 0)]))
         pairs = pairs[:, live]
+        linked_all = (pairs[5] == 1) & (stretch[pairs[0]] == stretch[pairs[1] - 1])
+        pairs = pairs[:, ~linked_all]
         if not pairs.shape[1]:
             continue
         size = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2])
