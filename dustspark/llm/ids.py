@@ -31,9 +31,9 @@ from dustspark.llm.tokens import vocabulary
 from dustspark.session import scratch
 
 VOCABULARY = "word_bpe_49k.json"
-BLOCK = 4096
-LANES = 1024
-CONTEXT_BITS = 12
+BLOCK = 2048
+LANES = 4096
+CONTEXT_BITS = 11
 TOTAL_BITS = 16
 CONFIDENT = 7  # most hits in a row that are told apart
 
@@ -124,11 +124,12 @@ class _Reader(_Coder):
     def __init__(self, coded: list[bytes]) -> None:
         super().__init__(len(coded))
         words = max(len(c) // 2 for c in coded) + 8
-        table = np.zeros((len(coded), words), np.uint64)
+        table = np.zeros((len(coded), words), np.uint16)
         for k, c in enumerate(coded):
             table[k, :len(c) // 2] = np.frombuffer(c, "<u2")
         self.at = np.arange(len(coded)) * words + 4
-        self.code = (table[:, 0] << _S48) | (table[:, 1] << np.uint64(32)) | (table[:, 2] << _S16) | table[:, 3]
+        first = table[:, :4].astype(np.uint64)
+        self.code = (first[:, 0] << _S48) | (first[:, 1] << np.uint64(32)) | (first[:, 2] << _S16) | first[:, 3]
         self.words = table.reshape(-1)
 
     def word(self, lanes: np.ndarray, low: np.ndarray) -> None:
@@ -266,12 +267,12 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     order = np.argsort(-lengths, kind="stable")
     active = _active(lengths[order])
-    columns = np.zeros((len(active), len(blocks)), np.int64)
+    columns = np.zeros((len(active), len(blocks)), np.uint16)
     for lane, k in enumerate(order.tolist()):
         columns[:lengths[k], lane] = blocks[k]
-    model, out, renew = _Model(len(blocks)), _Writer(len(blocks), len(active) * 4 + 8), _renewals(len(active))
+    model, out, renew = _Model(len(blocks)), _Writer(len(blocks), len(active) * 3 + 16), _renewals(len(active))
     for t, n in enumerate(active.tolist()):
-        x = columns[t, :n]
+        x = columns[t, :n].astype(np.int64)
         p = model.look(n)
         right = model.first == x
         out.event(right, p)
@@ -293,7 +294,7 @@ def decode_blocks(lengths: list[int], coded: list[bytes]) -> list[np.ndarray]:
     sizes = np.array(lengths)
     order = np.argsort(-sizes, kind="stable")
     active = _active(sizes[order])
-    columns = np.zeros((len(active), len(coded)), np.int64)
+    columns = np.zeros((len(active), len(coded)), np.uint16)
     model, source, renew = _Model(len(coded)), _Reader([coded[k] for k in order.tolist()]), _renewals(len(active))
     for t, n in enumerate(active.tolist()):
         right = source.event(model.look(n))
@@ -329,7 +330,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, block: int = BL
         def flush() -> pd.DataFrame:
             cut, rows = [], []
             for place, k, held in frames:
-                ids = np.frombuffer(b"".join(b for _, b in held), "<u2").astype(np.int64)
+                ids = np.frombuffer(b"".join(b for _, b in held), "<u2")
                 parts = [ids[i:i + block] for i in range(0, len(ids), block)]
                 rows.append([place, k, len(ids), [d for d, _ in held], [len(b) // 2 for _, b in held], [len(x) for x in parts], [checksum(x) for x in parts]])
                 cut.append(parts)
