@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dustspark.llm.common import partitions, ship
-from dustspark.llm.tokens import END_ID, encoder, vocabulary
+from dustspark.llm.tokens import END_ID, MEMO, encoder, vocabulary
 
 WINDOW = 2048
 VOCABULARY = "byte_bpe_50k.json"
 TEXT_CHARS = 1 << 23
+PACKING_MEMO = 1_200_000
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
     """(doc_id, ids): ids of the whole text and the end id, 16 bits each, little-endian."""
     ship(docs.sparkSession)
     tail = np.array([end_id], "<u2").tobytes()
@@ -42,7 +43,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             turn = (batch["text"].str.len().fillna(0).cumsum() // TEXT_CHARS).to_numpy()
             for k in np.unique(turn):
                 part = batch[turn == k]
-                ids = encoder(path).encode([t if isinstance(t, str) else None for t in part["text"]])
+                ids = encoder(path, memo).encode([t if isinstance(t, str) else None for t in part["text"]])
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": [x + tail for x in ids]})
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id bigint, ids binary")
 
@@ -147,6 +148,6 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
         if packer.full:
             yield flush()
 
-    ids = tokenise(docs, path).withColumn("place", F.xxhash64("doc_id", F.octet_length("ids")))
+    ids = tokenise(docs, path, memo=PACKING_MEMO).withColumn("place", F.xxhash64("doc_id", F.octet_length("ids")))
     dealt = ids.repartition(partitions(docs.sparkSession), "place").sortWithinPartitions("place", "doc_id", F.crc32("ids"))
     return dealt.select("doc_id", "ids").mapInPandas(run, schema)

@@ -17,20 +17,24 @@ MEMO = 400_000
 #: places where a space may belong to a longer run of white space
 _RUN = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: marks that both tokenizers cut off from letters before them
+_MARKS = frozenset(".,;:!?")
 _LOADED: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Text to ids as little-endian 16-bit bytes (every public vocabulary here is below 65,536)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo: int = MEMO) -> None:
         from tokenizers import Tokenizer
 
+        self.memo = memo
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path}: ids do not fit 16 bits")
         self.mark = self.tokenizer.encode(" \x00", add_special_tokens=False).ids
+        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u2").tobytes() for c in _MARKS}
         # two generations: what was not asked for since the last turn is forgotten
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -67,19 +71,30 @@ class Encoder:
         missing = {x for p, f in zip(pieces, found, strict=True) if None in f for x, y in zip(p, f, strict=True) if y is None}
         if missing:
             known = {x: y for x in missing if (y := self.old.get(x)) is not None}
-            known.update(self._encode_new([x for x in missing if x not in known]))
+            new = [x for x in missing if x not in known]
+            # a letter and the mark after it are never one token: such pieces are made of the ids of both
+            split = [x for x in new if x[-1:] in _MARKS and x[-2:-1].isalpha()]
+            bases = {x[:-1] for x in split}
+            for x in list(bases):
+                ids = get(x) or self.old.get(x)
+                if ids is not None:
+                    known[x] = ids
+            whole = [x for x in new if not (x[-1:] in _MARKS and x[-2:-1].isalpha())]
+            known.update(self._encode_new([x for x in {*whole, *bases} if x not in known]))
+            for x in split:
+                known[x] = known[x[:-1]] + self.marks[x[-1]]
             found = [[known[x] if y is None else y for x, y in zip(p, f, strict=True)] if None in f else f
                      for p, f in zip(pieces, found, strict=True)]
-            if len(self.young) + len(known) > MEMO // 2:
+            if len(self.young) + len(known) > self.memo // 2:
                 self.old, self.young = self.young, {}
             self.young.update(known)
         return [b"".join(f) for f in found]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """The worker's encoder for a vocabulary file; kept for the next tasks of the worker."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
+        _LOADED[path] = Encoder(path, memo)
     return _LOADED[path]
 
 
