@@ -55,14 +55,14 @@ def windows(s: str, least: float) -> list[tuple[int, int]]:
     weighted = 0.0  # sum of c log2 c
     out: list[tuple[int, int]] = []
     for i, c in enumerate(s):
-        k = counts.get(c, 0)
-        weighted += _LOG[k + 1] - _LOG[k]
-        counts[c] = k + 1
-        if i >= WINDOW:
+        if i >= WINDOW:  # the character that leaves goes first, so no count exceeds the window
             o = s[i - WINDOW]
             k = counts[o]
             weighted += _LOG[k - 1] - _LOG[k]
             counts[o] = k - 1
+        k = counts.get(c, 0)
+        weighted += _LOG[k + 1] - _LOG[k]
+        counts[c] = k + 1
         if i >= WINDOW - 1 and math.log2(WINDOW) - weighted / WINDOW >= least - 1e-9:
             start = i - WINDOW + 1
             if out and start <= out[-1][1]:

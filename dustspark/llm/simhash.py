@@ -59,8 +59,10 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
+def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        prints = np.fromiter((fingerprint(t) for t in batch["text"]), np.uint64, len(batch)).view(np.int64)
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": prints})
 
 
 # ---- the traversal inside a task
@@ -228,7 +230,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable."""
     ship(docs.sparkSession)
-    prints = cut_lineage(docs.select("doc_id", F.pandas_udf(_fingerprints, "bigint")(F.col("text")).alias("fp")))
+    prints = cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_fingerprints, "doc_id bigint, fp bigint"))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(linked_pairs(nodes.select("fp")))
     member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

@@ -40,8 +40,10 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
+        if "\x00" in text:
+            return ["\x00" + text]
         cut = _CUT.split(text) if _RUN.search(text) else text.split(" ")
-        # the first piece has no space before it; a mark that no piece starts with tells it from the others
+        # the first piece has no space before it; a mark that no other piece has tells it from them
         cut[0] = "\x00" + cut[0]
         return cut
 
@@ -49,7 +51,7 @@ class Encoder:
         """Ids of pieces, in one call: pieces with a plain space or nothing at their edges are joined by a mark of known ids."""
         joined, alone = [], []
         for x in pieces:
-            (joined if "\x00" not in x and x and not x[0].isspace() and not x[-1].isspace() else alone).append(x)
+            (joined if x and "\x00" not in x and not x[0].isspace() and not x[-1].isspace() else alone).append(x)
         out = {}
         for x in alone:
             plain = x[1:] if x[:1] == "\x00" else " " + x
