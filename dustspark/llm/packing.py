@@ -29,7 +29,7 @@ from dustspark.llm.tokens import END_ID, MEMO, encoder, vocabulary
 WINDOW = 2048
 VOCABULARY = "byte_bpe_50k.json"
 TEXT_CHARS = 1 << 23
-PACKING_MEMO = 1_200_000
+PACKING_MEMO = 600_000
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
