@@ -55,9 +55,8 @@ def blend_weights(rows: DataFrame, a: str, b: str, y: str = "y") -> DataFrame:
 
 def last_share(train: DataFrame, share: float = 0.85) -> DataFrame:
     """The training rows from position floor(share * n) on, in (date, site) order."""
-    # site ids fill the gap between two day numbers, so the balance key follows the order
-    proxy = F.unix_date("date") + F.col("site_id") / 1e12
-    numbered = running_number(train, ["date", "site_id"], proxy, "_pos")
+    # the balance key follows the order by date alone, so site ids may be of any type
+    numbered = running_number(train, ["date", "site_id"], F.unix_date("date").cast("double"), "_pos")
     total = train.agg(F.count(F.lit(1)).alias("_n"))
     return (numbered.join(F.broadcast(total)).filter(F.col("_pos") > F.floor(F.col("_n") * share))
             .drop("_pos", "_n"))

@@ -154,7 +154,7 @@ CTES: dict[str, tuple[str, str]] = {
     "posts": ("tok", "SELECT doc_id, len(toks) AS dl, term, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS term FROM tok) GROUP BY 1, 2, 3"),
     "stats": ("tok", "SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM tok"),
     "idfs": ("posts stats", "SELECT term, df, ln(1+(n-df+0.5::DOUBLE)/(df+0.5::DOUBLE)) AS idf FROM (SELECT term, count(*) AS df FROM posts GROUP BY 1), stats"),
-    "qtok": ("", """SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9][a-z0-9.\\-_%]*'),
+    "qtok": ("", """SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.\\-_%]*'),
         lambda t: length(t) > 1 AND NOT list_contains([{stop}], t)) AS toks FROM benchmark""".replace(
             "{stop}", ", ".join(f"'{w}'" for w in C.STOP_WORDS))),
     "qterms": ("qtok", "SELECT query_id, term, 1+0.5::DOUBLE*count(*)/max(len(toks)) AS q_weight FROM (SELECT query_id, toks, unnest(toks) AS term FROM qtok) GROUP BY 1, 2"),

@@ -16,7 +16,7 @@ from dustspark.sources import index as IX
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -122,10 +122,10 @@ def context_blocks(spark: SparkSession, d: str) -> DataFrame:
     return B.context_blocks(hits.join(docs.select("doc_id", "source", "text", page.alias("page")), "doc_id"))
 
 
-@query("u1_corpus_union", "U1", """SELECT kind, source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT 'literature' AS kind, source, text FROM documents WHERE doc_id % 3 = 0
+@query("u1_corpus_union", "U1", """SELECT kind, source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT 'literature' AS kind, source, text FROM documents
       UNION ALL SELECT 'fact', 'facts', text FROM benchmark UNION ALL SELECT 'note', url, html FROM pages) GROUP BY 1, 2""")
 def corpus_union(spark: SparkSession, d: str) -> DataFrame:
-    docs = X.documents(spark, d).filter(F.col("doc_id") % 3 == 0)
+    docs = X.documents(spark, d)
     facts = X.table(spark, d, "benchmark").select(F.lit("facts").alias("source"), "text")
     notes = X.pages(spark, d).select(F.col("url").alias("source"), F.col("html").alias("text"))
     return B.corpus_union(docs, facts, notes).groupBy("kind", "source").agg(

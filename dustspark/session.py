@@ -28,6 +28,13 @@ def build_session(app: str = "dustspark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def _own_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder for a local session; on a cluster each executor would write to its own disk."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared checkpoint folder and continue from there.
 
@@ -38,7 +45,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dustspark-ckpt-"))
+        context.setCheckpointDir(folder or _own_folder(spark, "dustspark-ckpt-"))
     return df.checkpoint(eager=True)
 
 
@@ -50,7 +57,7 @@ def scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/dustspark-{spark.sparkContext.applicationId}-{next(_FOLDERS)}"
-    return tempfile.mkdtemp(prefix="dustspark-")
+    return _own_folder(spark, "dustspark-")
 
 
 def spread(scan: DataFrame) -> DataFrame:

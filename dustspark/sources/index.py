@@ -58,9 +58,12 @@ def refresh(docs: DataFrame, path: str) -> int:
     touched = docs.withColumn("bucket", _bucket()).filter(F.col("bucket").isin(stale))
     files = touched.select("doc_id", "file", "bucket")
     new = postings(touched).join(files, "doc_id")
-    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+    # a row without a file keeps a stale bucket from staying as it was when none of its documents has a token left
+    emptied = spark.createDataFrame([(b,) for b in stale], "bucket int")
+    new.unionByName(emptied, allowMissingColumns=True).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("bucket").parquet(f"{path}/postings")
-    run = (known.agg(F.max("run")).first()[0] or 0) + 1
+    log = _existing(spark, f"{path}/manifest")  # vanished files count as well: a run number is never used twice
+    run = ((log.agg(F.max("run")).first()[0] if log is not None else None) or 0) + 1
     marks = fresh.select("file", "modified", F.lit(run).cast("long").alias("run"), F.lit(True).alias("live")).unionByName(
         gone.select("file", F.lit(None).cast("timestamp").alias("modified"), F.lit(run).cast("long").alias("run"),
                     F.lit(False).alias("live")))

@@ -187,3 +187,30 @@ def test_conform_gives_one_representation_of_missing(spark):
     rows = got.orderBy("site_id").collect()
     assert [(r["site_id"], r["tmax_c"], r["tmin_c"], r["pm10_max"], r["lat"]) for r in rows] == [("7", None, None, 12.5, None), ("8", None, None, 1.0, None)]
     assert rows[0]["date"] == datetime.date(2024, 1, 31) and rows[1]["date"] is None
+
+
+def test_index_forgets_emptied_and_finds_returning_files(spark, tmp_path):
+    from dustspark.operators import retrieval as R
+    from dustspark.sources import index
+
+    path = str(tmp_path / "index")
+
+    def docs(*rows):
+        return spark.createDataFrame([(i, t, f"f{i}", when) for i, t, when in rows], "doc_id long, text string, file string, modified string").withColumn(
+            "modified", F.col("modified").cast("timestamp"))
+
+    def found(words, *rows):
+        loaded = index.load_index(docs(*rows), path)
+        return {r["doc_id"] for r in R.search(loaded, spark.createDataFrame([(1, words)], "query_id long, query string")).collect()}
+
+    first = (1, "amber basalt", "2024-01-01"), (2, "cobalt dune", "2024-01-01"), (3, "ember", "2024-01-01")
+    index.refresh(docs(*first), path)
+    assert found("amber cobalt", *first) == {1, 2}
+    emptied = (1, "the and of", "2024-01-02"), *first[1:]
+    index.refresh(docs(*emptied), path)
+    assert found("amber", *emptied) == set()
+    gone = spark.createDataFrame([], docs(*first).schema)
+    index.refresh(gone, path)
+    back = (2, "cobalt dune", "2024-01-05")
+    index.refresh(docs(back), path)
+    assert found("cobalt", back) == {2}
