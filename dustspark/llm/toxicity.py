@@ -171,7 +171,8 @@ def suspects(labelled: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """The field from labelled rows that are not held out. The sample and the suspects that reach the driver are bounded."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    # held-out texts stay out of the shuffle; the hint keeps the plan alike at every size
+    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(known.hint("merge"), "doc_id")
     share = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).first()
     if not share["n"] or share["bad"] in (0, share["n"]):
         p = min(max((share["bad"] or 0) / max(share["n"], 1), 1e-6), 1 - 1e-6)
