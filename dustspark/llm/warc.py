@@ -113,8 +113,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     ship(pages.sparkSession)
     rows = assign(pages)
     typed = rows.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "record_type", F.col("refers_to").cast("long"))
-    dealt = typed.repartition(partitions(pages.sparkSession), F.xxhash64("page_id", "url"))
-    return cut_lineage(dealt.mapInPandas(run, "path string, bytes bigint, records bigint"))
+    # the join has dealt the pages by id already
+    return cut_lineage(typed.mapInPandas(run, "path string, bytes bigint, records bigint"))
 
 
 # ---- reading
