@@ -159,7 +159,8 @@ def suspects(labelled: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
     rows = labelled.select("toxic", words.alias("words"))
     pairs = F.transform("words", lambda w, i: F.struct(_kinds(w).alias("features"), F.get(F.col("words"), i + 1).alias("next")))
-    met = rows.where("toxic = 1").select(F.explode(pairs).alias("x")).select(F.explode("x.features").alias("feature"), F.xxhash64("x.next").alias("next"))
+    # 32 bits tell the few next words of one feature apart; the number stands before the word so that rows compress in the shuffle
+    met = rows.where("toxic = 1").select(F.explode(pairs).alias("x")).select(F.hash("x.next").alias("next"), F.explode("x.features").alias("feature"))
     varied = met.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
     n = labelled.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     seen = rows.select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct("words"), _kinds)))).alias("feature"))
