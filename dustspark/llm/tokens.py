@@ -7,6 +7,7 @@ The ids are those of encoding the whole text with add_special_tokens=False; stri
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -26,6 +27,8 @@ class Encoder:
     """Text to ids as little-endian 16-bit bytes (every public vocabulary here is below 65,536)."""
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
+        # Spark's tasks are the parallelism; the library's threads would only compete with them
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.memo = memo
@@ -58,7 +61,9 @@ class Encoder:
             out[x] = np.array(self.tokenizer.encode(plain, add_special_tokens=False).ids, "<u2").tobytes()
         if joined:
             mark = self.mark
-            ids = np.array(self.tokenizer.encode("".join(f" {x} \x00" for x in joined), add_special_tokens=False).ids, "<u2")
+            # the form without offsets, which nobody asks for here
+            found = self.tokenizer.encode_batch_fast(["".join(f" {x} \x00" for x in joined)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u2")
             ends = np.flatnonzero(ids == mark[-1])
             if len(ends) != len(joined):
                 raise ValueError("the mark between pieces is not encoded alone")
