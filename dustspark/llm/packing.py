@@ -30,6 +30,8 @@ WINDOW = 2048
 VOCABULARY = "byte_bpe_50k.json"
 TEXT_CHARS = 1 << 23
 PACKING_MEMO = 600_000
+#: ids of full windows that are kept before their rows leave the task
+FLUSH_IDS = 1 << 21
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
@@ -127,7 +129,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        packer, held, key, made = Packer(window), {}, 0, 0
+        packer, held, key, made, gathered = Packer(window), {}, 0, 0, 0
 
         def flush() -> pd.DataFrame:
             nonlocal made, held
@@ -143,7 +145,10 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
                 held[key] = (None if pd.isna(doc_id) else int(doc_id), ids)
                 packer.add(key, len(ids) // 2)
                 key += 1
-            yield flush()
+                gathered += len(ids) // 2
+                if gathered >= FLUSH_IDS:
+                    yield flush()
+                    gathered = 0
         packer.close()
         if packer.full:
             yield flush()
