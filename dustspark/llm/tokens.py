@@ -15,6 +15,7 @@ import public_tokenizers
 
 END_ID = 1
 MEMO = 400_000
+AT_ONCE = 4096
 #: places where a space may belong to a longer run of white space
 _RUN = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -59,16 +60,18 @@ class Encoder:
         for x in alone:
             plain = x[1:] if x[:1] == "\x00" else " " + x
             out[x] = np.array(self.tokenizer.encode(plain, add_special_tokens=False).ids, "<u2").tobytes()
-        if joined:
-            mark = self.mark
+        # a few thousand at a time: the library keeps some hundred bytes per token of a call
+        for k in range(0, len(joined), AT_ONCE):
+            some = joined[k:k + AT_ONCE]
             # the form without offsets, which nobody asks for here
-            found = self.tokenizer.encode_batch_fast(["".join(f" {x} \x00" for x in joined)], add_special_tokens=False)[0]
+            found = self.tokenizer.encode_batch_fast(["".join(f" {x} \x00" for x in some)], add_special_tokens=False)[0]
             ids = np.array(found.ids, "<u2")
-            ends = np.flatnonzero(ids == mark[-1])
-            if len(ends) != len(joined):
+            ends = np.flatnonzero(ids == self.mark[-1])
+            if len(ends) != len(some):
                 raise ValueError("the mark between pieces is not encoded alone")
             begins = np.concatenate([[0], ends[:-1] + 1])
-            out.update((x, ids[a:b].tobytes()) for x, a, b in zip(joined, begins.tolist(), (ends - len(mark) + 1).tolist(), strict=True))
+            last = (ends - len(self.mark) + 1).tolist()
+            out.update((x, ids[a:b].tobytes()) for x, a, b in zip(some, begins.tolist(), last, strict=True))
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
