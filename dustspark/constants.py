@@ -29,6 +29,8 @@ CLIMATES = [
     ("inland", 0.50, 0.90, 1.05, 30.0, 0.80, 7.2, 5.0),
     ("highland", 0.18, 0.80, 0.70, 12.0, 0.80, 6.8, 4.6),
 ]
+# Fixed value: climate of a site without one
+DEFAULT_CLIMATE = "inland"
 # Dust-loading factor by training region, target mean loss by region
 REGION_FACTOR = [
     ("west", 0.55), ("east", 1.10), ("central", 0.60), ("north", 0.55),

@@ -12,13 +12,15 @@ from dustspark.sources.dimensions import climate_dimension, policy_candidates
 # the four climates are a constant table, so the joins below may broadcast them
 
 
-def with_climate(df: DataFrame, fallback: str | None = None) -> DataFrame:
-    """Climate parameters by the ``climate`` column (``fallback`` for unknown climates)."""
+def known_climate(climate: Column, fallback: str = C.DEFAULT_CLIMATE) -> Column:
+    """The climate's name; null and unknown ones count as the default."""
+    return F.when(climate.isin([c[0] for c in C.CLIMATES]), climate).otherwise(fallback)
+
+
+def with_climate(df: DataFrame, fallback: str = C.DEFAULT_CLIMATE) -> DataFrame:
+    """Climate parameters by the ``climate`` column; null and unknown climates become ``fallback``."""
     dim = F.broadcast(climate_dimension(df.sparkSession))
-    if fallback is None:
-        return df.join(dim, "climate", "left")
-    known = F.col("climate").isin([c[0] for c in C.CLIMATES])
-    return df.withColumn("climate", F.when(known, F.col("climate")).otherwise(fallback)).join(dim, "climate")
+    return df.withColumn("climate", known_climate(F.col("climate"), fallback)).join(dim, "climate")
 
 
 def with_site_columns(days: DataFrame, sites: DataFrame) -> DataFrame:
@@ -149,7 +151,7 @@ def policy_costs(sites: DataFrame, cost_per_mwp: Column | float | None = None,
     arms = F.broadcast(year_by_climate(sites.sparkSession))
     lost = F.col("capacity_kwp") * F.col("lost_kwh_per_kwp")
     spend = F.col("events") * S.cleaning_cost(F.col("capacity_kwp"), cost_per_mwp)
-    return sites.join(arms, "climate").withColumns({
+    return sites.withColumn("climate", known_climate(F.col("climate"))).join(arms, "climate").withColumns({
         "energy_lost_kwh": F.round(lost, 0), "value_lost_sar": F.round(lost * tariff, 0),
         "cleaning_cost_sar": F.round(spend, 0), "net_cost_sar": F.round(lost * tariff + spend, 0),
         "water_litres": F.round(F.col("events") * S.water_litres(F.col("capacity_kwp")), 0),

@@ -218,3 +218,15 @@ def test_blend_weights(spark):
     assert r["weight_a"] == pytest.approx(0.75) and r["weight_b"] == pytest.approx(0.25)
     few = EV.blend_weights(df.limit(10), "a", "b").first()
     assert (few["weight_a"], few["weight_b"]) == (0.5, 0.5)
+
+
+def test_sites_without_a_known_climate_count_as_inland(spark):
+    from dustspark.operators import policy as PL
+
+    sites = spark.createDataFrame([(1, "inland", 100.0), (2, None, 100.0), (3, "moon", 100.0)],
+                                  "site_id long, climate string, capacity_kwp double")
+    got = PL.with_climate(sites).select("site_id", "climate", "lmax", "tau").collect()
+    assert {r["site_id"] for r in got} == {1, 2, 3}
+    assert len({tuple(r)[1:] for r in got}) == 1
+    best = PL.best_policy(PL.policy_costs(sites)).select("site_id", "best.net_cost_sar").collect()
+    assert len(best) == 3 and len({r["net_cost_sar"] for r in best}) == 1
