@@ -36,6 +36,8 @@ RATE = 0.3
 L2 = 1e-6
 MEMO = 300_000
 BATCH_TOKENS = 1 << 20
+#: size of the filter of labelled ids: at most 2048 rows of 4 KB are broadcast, whatever the number of labels
+FILTER_BITS = 1 << 26
 
 
 def held_out(doc_id: Column) -> Column:
@@ -169,11 +171,23 @@ def suspects(labelled: DataFrame) -> DataFrame:
     return counts.where(rate >= ODDS).join(varied, "feature")
 
 
+def maybe_labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents whose hashed id is among the hashed labelled ids. None that is labelled is lost; some others stay, all of them
+    once the labels are many more than the bits, so the exact join follows."""
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FILTER_BITS)) + 1
+    bits = known.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    return docs.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("_part")).where(hit).select(*docs.columns)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """The field from labelled rows that are not held out. The sample and the suspects that reach the driver are bounded."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # held-out texts stay out of the shuffle; the hint keeps the plan alike at every size
-    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(known.hint("merge"), "doc_id")
+    # held-out texts and most that have no label stay out of the shuffle; the hint keeps the plan alike at every size
+    rows = maybe_labelled(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))), known).join(known.hint("merge"), "doc_id")
     share = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).first()
     if not share["n"] or share["bad"] in (0, share["n"]):
         p = min(max((share["bad"] or 0) / max(share["n"], 1), 1e-6), 1 - 1e-6)
