@@ -28,7 +28,7 @@ from dustspark.llm.tokens import END_ID, MEMO, encoder, vocabulary
 
 WINDOW = 2048
 VOCABULARY = "byte_bpe_50k.json"
-TEXT_CHARS = 1 << 23
+TEXT_CHARS = 1 << 21
 PACKING_MEMO = 600_000
 #: ids of full windows that are kept before their rows leave the task
 FLUSH_IDS = 1 << 21
