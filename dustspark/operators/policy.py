@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dustspark import constants as C
@@ -100,29 +100,33 @@ def cheapest_interval(totals: DataFrame) -> DataFrame:
         .select("site_id", "b.*")
 
 
-def year_by_climate(spark: SparkSession) -> DataFrame:
-    """Every policy candidate over one year, per climate and per kWp of plant.
+def observed_series(rollup: DataFrame, sites: DataFrame) -> DataFrame:
+    """One row per site: climate parameters and its observed days in order, as (i, f, kwh per kWp).
 
-    Cleaning days do not depend on plant size or cost, so 4 climates x 21 candidates are folded once
-    (84 rows) and priced per site afterwards. Columns: events, mean loss, lost kWh per kWp.
+    The array is bounded by the calendar. A day without a factor or without irradiation adds nothing.
     """
-    dim = calendar_year(climate_dimension(spark))
-    days = dim.select(
-        "climate", "lmax", "tau", "i",
-        (S.season_factor(F.col("doy")) * F.col("dust_bias")).alias("f"),
-        (S.year_irradiation(F.col("doy"), F.col("irr_summer"), F.col("irr_winter")) * F.col("year_pr")).alias("kwh"))
-    series = days.groupBy("climate").agg(
+    days = with_climate(with_site_columns(rollup, sites.select("site_id", "climate"))).select(
+        "site_id", "date", "lmax", "tau", F.coalesce(day_factor(), F.lit(0.0)).alias("f"),
+        F.coalesce(S.day_irradiation(F.col("irradiation_kwh_m2"), F.col("peak_ghi_wm2"))
+                   * S.performance_ratio(F.col("tcell_max_c"), F.col("tair_max_c"), F.col("peak_ghi_wm2")), F.lit(0.0)).alias("kwh"))
+    series = days.groupBy("site_id").agg(
         F.first("lmax").alias("lmax"), F.first("tau").alias("tau"),
-        F.sort_array(F.collect_list(F.struct("i", "f", "kwh"))).alias("days"))
-    arms = series.crossJoin(F.broadcast(policy_candidates(spark)))
-    return arms.select("climate", "ord", "kind", "interval_days", "threshold_pct",
-                       F.size("days").alias("n_days"), year_totals(F.col("days")).alias("t")) \
-        .select("climate", "ord", "kind", "interval_days", "threshold_pct", "n_days",
+        F.sort_array(F.collect_list(F.struct("date", "f", "kwh"))).alias("days"))
+    return series.withColumn("days", F.transform("days", lambda d, i: F.struct(
+        i.alias("i"), d["f"].alias("f"), d["kwh"].alias("kwh"))))
+
+
+def observed_candidates(rollup: DataFrame, sites: DataFrame) -> DataFrame:
+    """Every policy candidate (21 constants) over each site's observed days: events, mean loss, lost kWh per kWp."""
+    arms = observed_series(rollup, sites).crossJoin(F.broadcast(policy_candidates(sites.sparkSession)))
+    return arms.select("site_id", "ord", "kind", "interval_days", "threshold_pct",
+                       F.size("days").alias("n_days"), candidate_totals(F.col("days")).alias("t")) \
+        .select("site_id", "ord", "kind", "interval_days", "threshold_pct", "n_days",
                 F.col("t.events").alias("events"), F.col("t.lost_kwh").alias("lost_kwh_per_kwp"),
                 (100.0 * F.col("t.loss_sum") / F.col("n_days")).alias("mean_loss_pct"))
 
 
-def year_totals(days: Column) -> Column:
+def candidate_totals(days: Column) -> Column:
     """Totals of one candidate over an ordered series of (i, f, kwh). The state is a few scalars."""
     kind = "struct<exposure:double,loss_sum:double,lost_kwh:double,events:int,last:int>"
     start = F.struct(F.lit(0.0).alias("exposure"), F.lit(0.0).alias("loss_sum"), F.lit(0.0).alias("lost_kwh"),
@@ -145,16 +149,20 @@ def year_totals(days: Column) -> Column:
     return F.aggregate(days, start, step)
 
 
-def policy_costs(sites: DataFrame, cost_per_mwp: Column | float | None = None,
+def policy_costs(rollup: DataFrame, sites: DataFrame, cost_per_mwp: Column | float | None = None,
                  tariff: float = C.TARIFF_SAR_PER_KWH) -> DataFrame:
-    """Yearly cost of every candidate at every site, rounded to whole SAR and kWh."""
-    arms = F.broadcast(year_by_climate(sites.sparkSession))
-    lost = F.col("capacity_kwp") * F.col("lost_kwh_per_kwp")
-    spend = F.col("events") * S.cleaning_cost(F.col("capacity_kwp"), cost_per_mwp)
-    return sites.withColumn("climate", known_climate(F.col("climate"))).join(arms, "climate").withColumns({
+    """Cost of every candidate at every site over its observed days, per 365 days, rounded to whole SAR and kWh.
+
+    ``events`` is the number of passes in the whole record. Sites without a day drop out.
+    """
+    rows = sites.withColumn("climate", known_climate(F.col("climate"))).join(observed_candidates(rollup, sites), "site_id")
+    year = F.lit(365.0) / F.col("n_days")
+    lost = F.col("capacity_kwp") * F.col("lost_kwh_per_kwp") * year
+    spend = F.col("events") * S.cleaning_cost(F.col("capacity_kwp"), cost_per_mwp) * year
+    return rows.withColumns({
         "energy_lost_kwh": F.round(lost, 0), "value_lost_sar": F.round(lost * tariff, 0),
         "cleaning_cost_sar": F.round(spend, 0), "net_cost_sar": F.round(lost * tariff + spend, 0),
-        "water_litres": F.round(F.col("events") * S.water_litres(F.col("capacity_kwp")), 0),
+        "water_litres": F.round(F.col("events") * S.water_litres(F.col("capacity_kwp")) * year, 0),
         "mean_loss_pct": F.round("mean_loss_pct", 2)})
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dustspark import constants as C
 from dustspark.operators import daily as D
 from dustspark.operators import features as FE
 from dustspark.operators import profile as PR
 from dustspark.operators import ranks as R
 from dustspark.plans import reports as RP
-from dustspark.plans.catalog.base import pick, query, rounded, sql
+from dustspark.plans.catalog.base import SQL_FEATURES, pick, query, rounded, sql
 from dustspark.sources import fixtures as X
 
 _SERVING = """SELECT site_id, CAST(ts AS DATE) AS date, round(sum(coalesce(ghi_wm2,0))/1000,8) AS irradiation_kwh_m2, round(max(temp_c),8) AS tair_max_c,
@@ -147,35 +148,33 @@ def complete_rows(spark: SparkSession, d: str) -> DataFrame:
     return PR.complete_rows(X.daily(spark, d, with_nulls=True), ["pm10_max", "pm10_mean", "dust_max"])
 
 
-_RANGE_COLS = ["pm10_max_7d", "dust_mean_30d", "precip_30d", "days_since_rain", "dust_factor_today", "aod_mean_7d"]
-
-
 def _train(spark: SparkSession, d: str) -> DataFrame:
-    s = FE.make_samples(X.daily(spark, d), X.VAL_START)
-    return s.filter(F.col("date") < F.lit(X.VAL_START).cast("date"))
+    """All features of the training rows; six decimals, so that the order of a sum does not make two values of one."""
+    s = FE.make_samples(X.daily(spark, d), X.VAL_START).filter(F.col("date") < F.lit(X.VAL_START).cast("date"))
+    return rounded(s.select(*C.FEATURES), 6)
 
 
-@query("a20_feature_ranges", "A20", sql("samples", f""", u AS (UNPIVOT (SELECT {', '.join(_RANGE_COLS)} FROM samples WHERE date < DATE '2000-01-01') ON COLUMNS(*) INTO NAME feature VALUE value)
+@query("a20_feature_ranges", "A20", sql("samples", f""", u AS (UNPIVOT (SELECT {SQL_FEATURES} FROM samples WHERE date < DATE '2000-01-01') ON COLUMNS(*) INTO NAME feature VALUE value)
     SELECT feature, round(median(value),4) AS median_value, round(min(value),4) AS min_value, round(max(value),4) AS max_value, round(avg(value),4) AS mean_value, round(stddev_pop(value),4) AS std_value FROM u GROUP BY 1"""))
 def feature_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(PR.feature_ranges(_train(spark, d).select(*_RANGE_COLS), _RANGE_COLS))
+    return rounded(PR.feature_ranges(_train(spark, d), C.FEATURES))
 
 
-_EDGES = """, u AS (UNPIVOT (SELECT pm10_max, dust_mean, precip_mm FROM daily) ON COLUMNS(*) INTO NAME feature VALUE value),
+_EDGES = """, u AS (UNPIVOT (SELECT {features} FROM samples WHERE date < DATE '2000-01-01') ON COLUMNS(*) INTO NAME feature VALUE value),
     e AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, {p}))) AS edges FROM u GROUP BY 1) """.replace(
-    "{p}", "[" + ",".join(f"{i / 32}" for i in range(1, 32)) + "]")
+    "{p}", "[" + ",".join(f"{i / 32}" for i in range(1, 32)) + "]").replace("{features}", SQL_FEATURES)
 
 
-@query("a21_bin_edges", "A21", sql("daily", _EDGES.lstrip() + "SELECT feature, CAST(i AS INTEGER) AS i, round(edges[i+1],6) AS edge FROM (SELECT feature, edges, unnest(range(len(edges))) AS i FROM e)"))
+@query("a21_bin_edges", "A21", sql("samples", _EDGES.lstrip() + "SELECT feature, CAST(i AS INTEGER) AS i, round(edges[i+1],6) AS edge FROM (SELECT feature, edges, unnest(range(len(edges))) AS i FROM e)"))
 def bin_edges(spark: SparkSession, d: str) -> DataFrame:
-    edges = PR.bin_edges(X.daily(spark, d), ["pm10_max", "dust_mean", "precip_mm"])
+    edges = PR.bin_edges(_train(spark, d), C.FEATURES)
     return rounded(edges.select("feature", F.posexplode("edges").alias("i", "edge")), 6)
 
 
-@query("a21_bin_counts", "A21", sql("daily", _EDGES.lstrip() + "SELECT feature, CAST(len(list_filter(edges, lambda x: x < value)) AS INTEGER) AS bin, count(*) AS n FROM u JOIN e USING (feature) GROUP BY 1, 2"))
+@query("a21_bin_counts", "A21", sql("samples", _EDGES.lstrip() + "SELECT feature, CAST(len(list_filter(edges, lambda x: x < value)) AS INTEGER) AS bin, count(*) AS n FROM u JOIN e USING (feature) GROUP BY 1, 2"))
 def bin_counts(spark: SparkSession, d: str) -> DataFrame:
-    n, cols = X.daily(spark, d), ["pm10_max", "dust_mean", "precip_mm"]
-    return PR.bin_values(n, cols, PR.bin_edges(n, cols)).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    n = _train(spark, d)
+    return PR.bin_values(n, C.FEATURES, PR.bin_edges(n, C.FEATURES)).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a24_fact_counts", "A24", "SELECT count(*) AS facts, count(*) FILTER (quality=1) AS verified, count(*) FILTER (coalesce(quality,0)<>1) AS unverified FROM documents LEFT JOIN labels USING (doc_id)")

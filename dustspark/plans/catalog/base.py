@@ -164,6 +164,11 @@ CTES: dict[str, tuple[str, str]] = {
 }
 
 
+# features that the driver tables do not hold; they count as zero
+_UNKNOWN = ("lat", "lon", "elevation_m", "tmax_c", "tmin_c", "wind_dir_deg", "pm25_mean")
+SQL_FEATURES = ", ".join(f"0.0::DOUBLE AS {c}" if c in _UNKNOWN else f"round(CAST({c} AS DOUBLE),6) AS {c}" for c in C.FEATURES)
+
+
 def sql(ctes: str, body: str, extra: str = "", recursive: bool = False) -> str:
     """WITH clause of the named expressions (and what they need), then ``extra`` CTEs, then the body."""
     ordered: list[str] = []

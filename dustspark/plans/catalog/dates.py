@@ -11,7 +11,7 @@ DATED |= dict.fromkeys("""
     t5_worst_horizon f3_schedule_projection f1_mass_balance f2_day_counters x1_day_angles
     x2_deposition_and_loss x5_specific_yield x7_loss_mass_marginal x11_energy x13_risk_labels
     x14_storm_levels x16_balance_kernel x21_batch_economics x22_confidence m7_standardise q2_dust_outlook
-    r1_daily_stream r2_deduplicated_stream r3_site_state_stream
+    m0_training_table r1_daily_stream r2_deduplicated_stream r3_site_state_stream
 """.split(), ('date',))
 DATED |= dict.fromkeys("""
     s4_fetch_windows

@@ -41,11 +41,15 @@ def site_folds(spark: SparkSession, d: str) -> DataFrame:
     return EV.site_folds(scored(spark, d).select("site_id", "date"), X.VAL_START)
 
 
-@query("m7_standardise", "M7", sql("daily", """, st AS (SELECT avg(pm10_max) AS m1, stddev_pop(pm10_max) AS s1, avg(dust_mean) AS m2, stddev_pop(dust_mean) AS s2 FROM daily WHERE date < DATE '2000-01-01')
-    SELECT site_id, date, round((pm10_max-m1)/CASE WHEN s1 < 1e-9 THEN 1 ELSE s1 END,6) AS pm10_max, round((dust_mean-m2)/CASE WHEN s2 < 1e-9 THEN 1 ELSE s2 END,6) AS dust_mean FROM daily, st"""))
+_MEASURES = ["pm10_max", "pm10_mean", "dust_max", "dust_mean", "aod_mean", "gust_max_ms", "wind_max_ms", "precip_mm", "ghi_mj_m2", "tmean_c", "rh_mean_pct"]
+
+
+@query("m7_standardise", "M7", sql("daily", ", st AS (SELECT " + ", ".join(f"avg({c}) AS {c}__m, stddev_pop({c}) AS {c}__s" for c in _MEASURES)
+    + " FROM daily WHERE date < DATE '2000-01-01')\n    SELECT site_id, date, "
+    + ", ".join(f"round(({c}-{c}__m)/CASE WHEN {c}__s < 1e-9 THEN 1 ELSE {c}__s END,6) AS {c}" for c in _MEASURES) + " FROM daily, st"))
 def standardise(spark: SparkSession, d: str) -> DataFrame:
-    n = X.daily(spark, d).select("site_id", "date", "pm10_max", "dust_mean")
-    return rounded(EV.standardise(n, ["pm10_max", "dust_mean"], F.col("date") < F.lit(X.VAL_START).cast("date")), 6)
+    n = X.daily(spark, d).select("site_id", "date", *_MEASURES)
+    return rounded(EV.standardise(n, _MEASURES, F.col("date") < F.lit(X.VAL_START).cast("date")), 6)
 
 
 @query("m8_blend_weights", "M8", sql("scored", """, tr AS (SELECT *, row_number() OVER (ORDER BY date, site_id) AS pos, count(*) OVER () AS n FROM scored WHERE date < DATE '2000-01-01'),

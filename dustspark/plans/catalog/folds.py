@@ -47,39 +47,37 @@ def interval_exposure(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("days"), F.max("exposure").alias("max_exposure"), F.avg("exposure").alias("mean_exposure")))
 
 
-# ---- yearly policies
-_YEAR = f"""cal AS (SELECT c.*, i, dayofyear(DATE '2026-01-01' + CAST(i AS INTEGER)) AS doy FROM clim c, (SELECT unnest(range(365)) AS i)),
-  yr AS (SELECT climate, lmax, tau, i,
-      (1+0.65::DOUBLE*exp(-((doy-60)/45.0::DOUBLE)*((doy-60)/45.0::DOUBLE))+0.35::DOUBLE*exp(-((doy-300)/32.0::DOUBLE)*((doy-300)/32.0::DOUBLE)))*dust_bias AS f,
-      (irr_winter+(irr_summer-irr_winter)*(1+cos(2*pi()*(doy-180)/365))/2)*year_pr AS kwh FROM cal),
+# ---- policy candidates over observed days
+_POLICIES = f"""pdays AS MATERIALIZED (SELECT r.site_id, lmax, tau, row_number() OVER (PARTITION BY r.site_id ORDER BY date)-1 AS i, count(*) OVER (PARTITION BY r.site_id) AS n_days,
+      {sql_dust_factor()} AS f, {SQL_IRR}*{SQL_PR} AS kwh FROM rollup AS r INNER JOIN sites s ON s.site_id=r.site_id JOIN clim USING (climate)),
   walk AS (
-    SELECT climate, ord, kind, interval_days, threshold_pct, -1 AS i, 0.0::DOUBLE AS exposure, 0.0::DOUBLE AS loss_sum,
-      0.0::DOUBLE AS lost, 0 AS events, -999 AS last FROM clim, candidates
+    SELECT site_id, n_days, ord, kind, interval_days, threshold_pct, -1::BIGINT AS i, 0.0::DOUBLE AS exposure, 0.0::DOUBLE AS loss_sum,
+      0.0::DOUBLE AS lost, 0 AS events, -999::BIGINT AS last FROM (SELECT DISTINCT site_id, n_days FROM pdays), candidates
     UNION ALL
-    SELECT climate, ord, kind, interval_days, threshold_pct, i, CASE WHEN cl THEN 0 ELSE e END, loss_sum+loss/100, lost+kwh*loss/100,
+    SELECT site_id, n_days, ord, kind, interval_days, threshold_pct, i, CASE WHEN cl THEN 0 ELSE e END, loss_sum+loss/100, lost+kwh*loss/100,
       events + CASE WHEN cl THEN 1 ELSE 0 END, CASE WHEN cl THEN i ELSE last END
     FROM (SELECT *, CASE WHEN interval_days IS NOT NULL THEN (i+1) % interval_days = 0
               WHEN threshold_pct IS NOT NULL THEN loss >= threshold_pct AND i-last >= 2 ELSE false END AS cl
         FROM (SELECT *, {sql_loss('e')} AS loss FROM (
-          SELECT w.climate, w.ord, w.kind, w.interval_days, w.threshold_pct, y.i, least(400, w.exposure+y.f) AS e, w.loss_sum, w.lost,
-            w.events, w.last, y.kwh, y.lmax, y.tau FROM walk w JOIN yr y ON y.climate=w.climate AND y.i=w.i+1)))),
-  costs AS (SELECT site_id, capacity_kwp, ord, kind, interval_days, threshold_pct, events, round(100*loss_sum/365,2) AS mean_loss_pct,
-      round(capacity_kwp*lost,0) AS energy_lost_kwh, round(capacity_kwp*lost*0.18::DOUBLE,0) AS value_lost_sar,
-      round(events*greatest(capacity_kwp/1000,0.001::DOUBLE)*1800,0) AS cleaning_cost_sar,
-      round(events*2500*capacity_kwp/1000,0) AS water_litres,
-      round(capacity_kwp*lost*0.18::DOUBLE+events*greatest(capacity_kwp/1000,0.001::DOUBLE)*1800,0) AS net_cost_sar
-    FROM sites JOIN walk USING (climate) WHERE i = 364),
+          SELECT w.site_id, w.n_days, w.ord, w.kind, w.interval_days, w.threshold_pct, y.i, least(400, w.exposure+y.f) AS e, w.loss_sum, w.lost,
+            w.events, w.last, y.kwh, y.lmax, y.tau FROM walk w JOIN pdays y ON y.site_id=w.site_id AND y.i=w.i+1)))),
+  costs AS (SELECT site_id, capacity_kwp, ord, kind, interval_days, threshold_pct, events, round(100*loss_sum/n_days,2) AS mean_loss_pct,
+      round(capacity_kwp*lost*(365.0::DOUBLE/n_days),0) AS energy_lost_kwh, round(capacity_kwp*lost*(365.0::DOUBLE/n_days)*0.18::DOUBLE,0) AS value_lost_sar,
+      round(events*(greatest(capacity_kwp/1000,0.001::DOUBLE)*1800)*(365.0::DOUBLE/n_days),0) AS cleaning_cost_sar,
+      round(events*(2500*capacity_kwp/1000)*(365.0::DOUBLE/n_days),0) AS water_litres,
+      round(capacity_kwp*lost*(365.0::DOUBLE/n_days)*0.18::DOUBLE+events*(greatest(capacity_kwp/1000,0.001::DOUBLE)*1800)*(365.0::DOUBLE/n_days),0) AS net_cost_sar
+    FROM sites JOIN walk USING (site_id) WHERE i = n_days-1),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY net_cost_sar, ord) AS rn FROM costs WHERE kind <> 'never') WHERE rn=1),
   bestfix AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY net_cost_sar, ord) AS rn FROM costs WHERE kind = 'interval') WHERE rn=1)"""
 
 
 def _costs(spark: SparkSession, d: str) -> DataFrame:
-    return PL.policy_costs(X.sites(spark, d))
+    return PL.policy_costs(X.rollup(spark, d), X.sites(spark, d))
 
 
-@query("f4_policy_candidates", "F4 J15 J16 X10 X12 X18", sql(
-    "sites clim candidates", """SELECT site_id, ord, kind, CAST(interval_days AS DOUBLE) AS interval_days, threshold_pct, events, mean_loss_pct, energy_lost_kwh,
-      value_lost_sar, cleaning_cost_sar, water_litres, net_cost_sar FROM costs""", _YEAR, recursive=True))
+@query("f4_policy_candidates", "F4 J15 J16 X12", sql(
+    "rollup sites clim candidates", """SELECT site_id, ord, kind, CAST(interval_days AS DOUBLE) AS interval_days, threshold_pct, events, mean_loss_pct, energy_lost_kwh,
+      value_lost_sar, cleaning_cost_sar, water_litres, net_cost_sar FROM costs""", _POLICIES, recursive=True))
 def policy_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _costs(spark, d).select(
         "site_id", "ord", "kind", F.col("interval_days").cast("double").alias("interval_days"), "threshold_pct", "events", "mean_loss_pct", "energy_lost_kwh",
@@ -87,10 +85,10 @@ def policy_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a16_best_policy", "A16", sql(
-    "sites clim candidates", """SELECT b.site_id, b.ord AS best_ord, b.kind AS best_kind, b.threshold_pct AS best_threshold_pct,
+    "rollup sites clim candidates", """SELECT b.site_id, b.ord AS best_ord, b.kind AS best_kind, b.threshold_pct AS best_threshold_pct,
       b.net_cost_sar AS best_net_sar, f.interval_days AS best_interval_days, f.net_cost_sar AS fixed_net_sar,
       b.net_cost_sar < f.net_cost_sar-1 AS beats_calendar, round(f.net_cost_sar-b.net_cost_sar,0) AS saving_sar
-    FROM best b JOIN bestfix f USING (site_id)""", _YEAR, recursive=True))
+    FROM best b JOIN bestfix f USING (site_id)""", _POLICIES, recursive=True))
 def best_policy(spark: SparkSession, d: str) -> DataFrame:
     return PL.best_policy(_costs(spark, d)).select(
         "site_id", F.col("best.ord").alias("best_ord"), F.col("best.kind").alias("best_kind"),
@@ -100,7 +98,7 @@ def best_policy(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a17_annual_habits", "A17", sql(
-    "sites clim candidates", """SELECT b.site_id, d7.net_cost_sar AS weekly_net_sar, d14.net_cost_sar AS d14_net_sar, d30.net_cost_sar AS d30_net_sar,
+    "rollup sites clim candidates", """SELECT b.site_id, d7.net_cost_sar AS weekly_net_sar, d14.net_cost_sar AS d14_net_sar, d30.net_cost_sar AS d30_net_sar,
       d10.net_cost_sar AS today_net_sar, b.net_cost_sar AS adaptive_net_sar, n.net_cost_sar AS never_net_sar,
       d7.mean_loss_pct AS weekly_loss_pct, b.mean_loss_pct AS adaptive_loss_pct,
       round(100*(1-b.energy_lost_kwh/greatest(d10.energy_lost_kwh,1)),2) AS energy_kept_pct,
@@ -111,7 +109,7 @@ def best_policy(spark: SparkSession, d: str) -> DataFrame:
     FROM best b JOIN bestfix f USING (site_id) JOIN costs d7 ON d7.site_id=b.site_id AND d7.interval_days=7
       JOIN costs d14 ON d14.site_id=b.site_id AND d14.interval_days=14 JOIN costs d30 ON d30.site_id=b.site_id AND d30.interval_days=30
       JOIN costs d10 ON d10.site_id=b.site_id AND d10.interval_days=10 JOIN costs n ON n.site_id=b.site_id AND n.kind='never'""",
-    _YEAR, recursive=True))
+    _POLICIES, recursive=True))
 def annual_habits(spark: SparkSession, d: str) -> DataFrame:
     return PL.annual_habits(_costs(spark, d))
 
@@ -142,12 +140,12 @@ _SCHEDULE = f"""days AS (SELECT r.site_id, r.date, capacity_kwp, lmax, tau, coal
   verdicts AS (SELECT *, capacity_kwp/1000*1800 AS cost FROM (SELECT site_id, sum(round(lost_sar,2)) AS risk_sar, count(*) AS n, max(capacity_kwp) AS capacity_kwp,
       max(CASE WHEN i=0 THEN loss_pct END) AS loss0, max(CASE WHEN i=0 THEN f END) AS f0, max(CASE WHEN i=0 THEN dust_risk END) AS risk0
     FROM projected WHERE schedule='fixed' AND i < 7 GROUP BY 1))"""
-SCHEDULE_SQL = _YEAR + ",\n" + _SCHEDULE
+SCHEDULE_SQL = _POLICIES + ",\n" + _SCHEDULE
 
 
 def plants(spark: SparkSession, d: str) -> DataFrame:
     s = X.sites(spark, d)
-    tuned = PL.best_policy(PL.policy_costs(s)).select("site_id", "tuned_threshold_pct")
+    tuned = PL.best_policy(PL.policy_costs(X.rollup(spark, d), s)).select("site_id", "tuned_threshold_pct")
     return s.join(tuned, "site_id")
 
 
@@ -202,7 +200,7 @@ def _factors(spark: SparkSession, d: str) -> DataFrame:
     return MB.site_factor(X.sites(spark, d))
 
 
-def _balance_sql(interval: int) -> str:
+def balance_sql(interval: int) -> str:
     return f"""base AS (SELECT site_id, date, row_number() OVER (PARTITION BY site_id ORDER BY date)-1 AS i,
       coalesce(pm10_mean, median(pm10_mean) OVER (PARTITION BY site_id)) AS pm, wind_max_ms*3.6::DOUBLE AS wk, rh_mean_pct AS rh,
       coalesce(precip_mm,0) AS rain FROM daily_n),
@@ -227,7 +225,7 @@ def _balance_sql(interval: int) -> str:
 
 @query("f1_mass_balance", "F1 X16 J5", sql(
     "daily_n sites", """SELECT site_id, date, round(deposition,6) AS deposition, round(mass,6) AS mass,
-      round(soiling_loss_pct,4) AS soiling_loss_pct FROM lossy""", _balance_sql(7), recursive=True))
+      round(soiling_loss_pct,4) AS soiling_loss_pct FROM lossy""", balance_sql(7), recursive=True))
 def mass_balance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(MB.mass_balance(_prepared(spark, d), _factors(spark, d)), 6, soiling_loss_pct=4)
 
@@ -252,7 +250,7 @@ _GRID = """, p1 AS (SELECT site_id, region, target, f, mean_loss FROM (SELECT si
       FROM ks JOIN (SELECT site_id, f/r2 AS lo, pow(r2*r2, 1/24::DOUBLE) AS r3 FROM p2) USING (site_id), (SELECT unnest(range(25)) AS j) GROUP BY ALL)
       QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY abs(mean_loss-target), f) = 1)"""
 _KS = """, ks AS (SELECT u.site_id, region, target, 0.81::DOUBLE*m*cement AS k FROM unit u JOIN factors USING (site_id))"""
-_CALIBRATED = _balance_sql(7) + _KS + _GRID
+_CALIBRATED = balance_sql(7) + _KS + _GRID
 
 
 def _calibrated(spark: SparkSession, d: str) -> DataFrame:
@@ -269,7 +267,7 @@ def calibration(spark: SparkSession, d: str) -> DataFrame:
 @query("f6_no_clean_steady_state", "F6", sql(
     "daily_n sites", """SELECT site_id, round(avg(soiling_loss_pct),4) AS no_clean_loss_pct FROM
       (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date DESC) AS back FROM lossy) WHERE back <= 365 GROUP BY 1""",
-    _balance_sql(3650), recursive=True))
+    balance_sql(3650), recursive=True))
 def steady_state(spark: SparkSession, d: str) -> DataFrame:
     return rounded(MB.steady_state(_prepared(spark, d), _factors(spark, d)))
 
@@ -284,7 +282,7 @@ def calibration_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a19_last_year_mean", "A19", sql(
     "daily_n sites", """SELECT site_id, year(date) AS year, round(avg(soiling_loss_pct),4) AS mean_value FROM lossy l
-      WHERE year(date) = (SELECT max(year(date)) FROM lossy m WHERE m.site_id=l.site_id) GROUP BY 1, 2""", _balance_sql(7), recursive=True))
+      WHERE year(date) = (SELECT max(year(date)) FROM lossy m WHERE m.site_id=l.site_id) GROUP BY 1, 2""", balance_sql(7), recursive=True))
 def last_year(spark: SparkSession, d: str) -> DataFrame:
     return rounded(MB.last_year_mean(MB.mass_balance(_prepared(spark, d), _factors(spark, d)), "soiling_loss_pct")) \
         .withColumn("year", F.col("year").cast("long"))

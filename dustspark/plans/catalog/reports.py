@@ -10,7 +10,7 @@ from dustspark.operators import daily as D
 from dustspark.operators import features as FE
 from dustspark.operators import schedule as SC
 from dustspark.plans import reports as RP
-from dustspark.plans.catalog.base import SQL_WEATHER_RISK, query, rounded, settled, sql, sql_dust_factor, sql_risk_label
+from dustspark.plans.catalog.base import SQL_FEATURES, SQL_WEATHER_RISK, query, rounded, settled, sql, sql_dust_factor, sql_risk_label
 from dustspark.plans.catalog.folds import SCHEDULE_SQL
 from dustspark.sources import fixtures as X
 
@@ -74,7 +74,14 @@ def site_comparison(spark: SparkSession, d: str) -> DataFrame:
     return rounded(both.select("site_a", "site_b", *[F.col(f"{s}.{c}").alias(f"{n}_{s}") for n, c in names.items() for s in ("a", "b")]))
 
 
-@query("q11_feature_parity", "Q11")
+_BAD = ", ".join(f"count(*) FILTER ({c} IS NULL OR NOT isfinite({c})) AS {c}__bad, count(*) FILTER ({c} <> 0) > 0 AS {c}__set" for c in C.FEATURES)
+_PARITY = f""", served AS (SELECT *, 98*(1-exp(-greatest(1,days_since_rain)*greatest(0,rate)/30))/100 AS dust_factor_today FROM (
+      SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date DESC) AS back, count(*) OVER (PARTITION BY site_id) AS history_days FROM featured) WHERE back = 4 AND history_days >= 45),
+    t AS (SELECT {_BAD} FROM (SELECT {SQL_FEATURES} FROM samples)), s AS (SELECT {_BAD} FROM (SELECT {SQL_FEATURES} FROM served))
+    """ + "\nUNION ALL ".join(f"SELECT '{c}' AS feature, true AS in_both, t.{c}__bad AS training_bad, s.{c}__bad AS serving_bad, t.{c}__set AS training_nonzero, s.{c}__set AS serving_nonzero FROM t, s" for c in C.FEATURES)
+
+
+@query("q11_feature_parity", "Q11", sql("samples", _PARITY))
 def feature_parity(spark: SparkSession, d: str) -> DataFrame:
     days = X.daily(spark, d)
     training = FE.make_samples(days, X.VAL_START)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dustspark.operators import schedule as SC
 from dustspark.operators.features import with_threshold
-from dustspark.plans.catalog.base import query, rounded, sql
+from dustspark.plans.catalog.base import query, rounded, sql, sql_dust_factor
 from dustspark.session import scratch
 from dustspark.sources import fixtures as X
 from dustspark.streaming import live as L
@@ -54,7 +54,7 @@ def deduplicated(spark: SparkSession, d: str) -> DataFrame:
       SELECT d.site_id, d.i, CASE WHEN d.precip_mm >= 5 THEN least(400, fold.e+d.f)*0.15::DOUBLE ELSE least(400, fold.e+d.f) END FROM fold JOIN d ON d.site_id=fold.site_id AND d.i=fold.i+1)
     SELECT d.site_id, d.date, round(e+1e-9,4) AS exposure, CAST(least(coalesce(d.i-max(CASE WHEN precip_mm >= 1 THEN d.i END) OVER (PARTITION BY d.site_id ORDER BY d.i ROWS UNBOUNDED PRECEDING),120),120) AS INTEGER) AS days_since_rain,
       pm10_max >= threshold AS storm_alert FROM d JOIN fold ON fold.site_id=d.site_id AND fold.i=d.i""".replace(
-          "{f}", __import__("dustspark.plans.catalog.base", fromlist=["x"]).sql_dust_factor()), recursive=True))
+          "{f}", sql_dust_factor()), recursive=True))
 def site_state(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark)
     outlook = SC.dust_outlook(X.rollup(spark, d), X.sites(spark, d)).select("site_id", "date", "dust_factor", "precip_mm")

@@ -15,6 +15,7 @@ from dustspark.operators import schedule as SC
 from dustspark.operators import windows as W
 from dustspark.plans import reports as RP
 from dustspark.plans.catalog.base import pick, query, rounded, settled, sql, sql_dust_factor
+from dustspark.plans.catalog.folds import balance_sql
 from dustspark.sources import fixtures as X
 
 _ROLL = ["pm10_max_3d", "pm10_max_7d", "pm10_max_30d", "dust_mean_7d", "dust_mean_30d", "gust_max_7d", "gust_max_30d",
@@ -120,7 +121,23 @@ def worst_horizon(spark: SparkSession, d: str) -> DataFrame:
     return pick(worst(s.withColumns({f"p_{k}": v for k, v in p.items()}), F.lit(0.4)), "site_id", "date", "max_p", "horizon", "level", digits=6)
 
 
-@query("m0_training_table", "W7 W8 W9 J13 P6")
+_TABLE = ["pm10_mean_ugm3", "pm10_max_ugm3", "dust_mean_ugm3", "aod_mean", "wind_max_kmh", "gust_max_kmh", "rh_mean_pct", "precip_mm", "deposition", "soiling_loss_pct"]
+_AGG = {"mean": "avg", "sum": "sum", "max": "max"}
+_TRAINING = """, counts AS (SELECT site_id, date, (rn-1) % 8 AS days_since_clean, least(coalesce(rn-max(CASE WHEN coalesce(precip_mm,0) >= 0.5::DOUBLE THEN rn END) OVER (PARTITION BY site_id ORDER BY date ROWS UNBOUNDED PRECEDING), 999), 999) AS days_since_rain
+      FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date) AS rn FROM daily)),
+    days AS (SELECT d.site_id, d.date, pm10_mean AS pm10_mean_ugm3, pm10_max AS pm10_max_ugm3, dust_mean AS dust_mean_ugm3, aod_mean, wind_max_ms*3.6::DOUBLE AS wind_max_kmh,
+      gust_max_ms*3.6::DOUBLE AS gust_max_kmh, rh_mean_pct, precip_mm, deposition, soiling_loss_pct, days_since_clean, days_since_rain
+      FROM daily d JOIN lossy l ON l.site_id=d.site_id AND l.date=d.date JOIN counts c ON c.site_id=d.site_id AND c.date=d.date),
+    tabled AS (SELECT *, sin(2*pi()*dayofyear(date)/365.25::DOUBLE) AS doy_sin, cos(2*pi()*dayofyear(date)/365.25::DOUBLE) AS doy_cos, """ + ", ".join(
+    [f"{_AGG[how]}({c}) OVER (w ROWS {n - 1} PRECEDING) AS {c}_{n}d_{how}" for c, n, how in C.TRAINING_ROLLS]
+    + [f"avg({c}) OVER (w ROWS UNBOUNDED PRECEDING) AS {c}_expmean" for c in C.TRAINING_EXPANDING]) + """,
+      lead(soiling_loss_pct) OVER w AS target_loss, lead(deposition) OVER w AS target_deposition FROM days WINDOW w AS (PARTITION BY site_id ORDER BY date))
+    SELECT site_id, date, days_since_clean, days_since_rain, """ + ", ".join(f"round({c}+1e-9,4) AS {c}" for c in [
+    *_TABLE, "doy_sin", "doy_cos", *[f"{c}_{n}d_{how}" for c, n, how in C.TRAINING_ROLLS], *[f"{c}_expmean" for c in C.TRAINING_EXPANDING],
+    "target_loss", "target_deposition"]) + " FROM tabled WHERE target_loss IS NOT NULL"
+
+
+@query("m0_training_table", "W7 W8 W9 J13 P6", sql("daily sites", _TRAINING, balance_sql(7).replace("daily_n", "daily"), recursive=True))
 def training_table(spark: SparkSession, d: str) -> DataFrame:
     n = X.daily(spark, d)
     days = n.select("site_id", "date", F.col("pm10_mean").alias("pm10_mean_ugm3"), F.col("pm10_max").alias("pm10_max_ugm3"),
@@ -128,5 +145,6 @@ def training_table(spark: SparkSession, d: str) -> DataFrame:
                     (F.col("gust_max_ms") * 3.6).alias("gust_max_kmh"), "rh_mean_pct", "precip_mm")
     prepared = MB.prepare(n.withColumn("wind_kmh", F.col("wind_max_ms") * 3.6))
     labels = MB.mass_balance(prepared, MB.site_factor(X.sites(spark, d))).drop("mass")
-    counts = MB.counters(prepared).select("site_id", "date", "days_since_clean", "days_since_rain")
-    return rounded(FE.training_table(days, labels.join(counts, ["site_id", "date"])))
+    counts = MB.counters(prepared).select("site_id", "date", *[F.col(c).cast("long").alias(c) for c in ("days_since_clean", "days_since_rain")])
+    out = FE.training_table(days, labels.join(counts, ["site_id", "date"]))
+    return out.select(*[settled(F.col(c), 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])

@@ -33,10 +33,10 @@ def compare_pairs(pairs: DataFrame, report: DataFrame) -> DataFrame:
     return pairs.join(a, "site_a").join(b, "site_b")
 
 
-def plants_with_policy(sites: DataFrame, cost_per_mwp: float | None = None,
+def plants_with_policy(sites: DataFrame, costs: DataFrame, cost_per_mwp: float | None = None,
                        interval_days: int = C.DEFAULT_CLEANING_INTERVAL) -> DataFrame:
     """Sites with the trigger tuned to their own economics."""
-    tuned = PL.best_policy(PL.policy_costs(sites, cost_per_mwp)).select("site_id", "tuned_threshold_pct")
+    tuned = PL.best_policy(costs).select("site_id", "tuned_threshold_pct")
     return sites.join(tuned, "site_id").withColumns({
         "interval_days": F.lit(interval_days),
         "cost_per_mwp": F.lit(C.CLEANING_COST_SAR_PER_MWP if cost_per_mwp is None else float(cost_per_mwp))})
@@ -52,13 +52,14 @@ def site_report(rollup: DataFrame, sites: DataFrame, horizon: int | None = 14,
     if capacity_kwp is not None:
         sites = sites.withColumn("capacity_kwp", F.lit(float(capacity_kwp)))
     days = rollup if horizon is None else head_days(rollup, horizon)
-    plants = plants_with_policy(sites, cost_per_mwp, interval_days)
+    costs = PL.policy_costs(rollup, sites, cost_per_mwp)
+    plants = plants_with_policy(sites, costs, cost_per_mwp, interval_days)
     rows = SC.project(days, plants)
     totals = SC.schedule_totals(rows)
     fixed = totals.filter(F.col("schedule") == "fixed").select(
         "site_id", "energy_kwh", "clean_kwh", "lost_kwh", "mean_loss_pct", "max_loss_pct", "cleaning_events", "net_sar")
     delta = SC.adaptive_delta(totals).select("site_id", "energy_pct", "saved_sar", "events_adaptive", "water_saved_litres")
-    year = PL.annual_habits(PL.policy_costs(sites, cost_per_mwp)).select("site_id", "sar_saved_year", "tuned_trigger")
+    year = PL.annual_habits(costs).select("site_id", "sar_saved_year", "tuned_trigger")
     return sites.select("site_id", "name", "climate").join(SC.verdict(rows), "site_id").join(fixed, "site_id") \
         .join(delta, "site_id").join(year, "site_id")
 

@@ -228,5 +228,8 @@ def test_sites_without_a_known_climate_count_as_inland(spark):
     got = PL.with_climate(sites).select("site_id", "climate", "lmax", "tau").collect()
     assert {r["site_id"] for r in got} == {1, 2, 3}
     assert len({tuple(r)[1:] for r in got}) == 1
-    best = PL.best_policy(PL.policy_costs(sites)).select("site_id", "best.net_cost_sar").collect()
+    day = "date date, pm10_ugm3 double, dust_ugm3 double, wind_max_ms double, gust_max_ms double, rh_mean_pct double, irradiation_kwh_m2 double, "
+    rollup = spark.createDataFrame([(k, datetime.date(2024, 1, 1 + i), 200.0, None, 5.0, 6.0, 40.0, 6.0, None, None, 30.0) for k in (1, 2, 3) for i in range(30)],
+                                   "site_id long, " + day + "peak_ghi_wm2 double, tcell_max_c double, tair_max_c double")
+    best = PL.best_policy(PL.policy_costs(rollup, sites)).select("site_id", "best.net_cost_sar").collect()
     assert len(best) == 3 and len({r["net_cost_sar"] for r in best}) == 1

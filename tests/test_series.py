@@ -197,27 +197,29 @@ def test_schedules_match_a_loop(spark, daily):
             assert [r["i"] for r in mine] == list(range(len(mine)))
 
 
-def test_year_policies_match_a_loop(spark):
-    got = {(r["climate"], r["ord"]): r for r in PL.year_by_climate(spark).collect()}
-    assert len(got) == 4 * 21
-    start = datetime.date(2026, 1, 1)
-    for name, rate_, lmax, bias, _, pr, summer, winter in C.CLIMATES:
-        tau = round(lmax / (rate_ / 100), 10)
-        arms = [(k, None) for k in C.INTERVAL_CANDIDATES] + [(None, t) for t in C.THRESHOLD_CANDIDATES] + [(None, None)]
+def test_policies_over_observed_days_match_a_loop(spark, daily):
+    rollup = daily.select(
+        "site_id", "date", (F.col("ghi_mj_m2") / 3.6).alias("irradiation_kwh_m2"), F.col("tmean_c").alias("tair_max_c"),
+        F.lit(None).cast("double").alias("tcell_max_c"), F.lit(None).cast("double").alias("peak_ghi_wm2"), "rh_mean_pct",
+        "wind_max_ms", "gust_max_ms", "precip_mm", F.col("pm10_mean").alias("pm10_ugm3"), F.col("dust_mean").alias("dust_ugm3"))
+    sites = spark.createDataFrame([(0, "east"), (1, "west"), (2, None)], "site_id long, climate string")
+    series = {r["site_id"]: r for r in PL.observed_series(rollup, sites).collect()}
+    got = {(r["site_id"], r["ord"]): r for r in PL.observed_candidates(rollup, sites).collect()}
+    assert len(series) == 3 and len(got) == 3 * 21
+    arms = [(k, None) for k in C.INTERVAL_CANDIDATES] + [(None, t) for t in C.THRESHOLD_CANDIDATES] + [(None, None)]
+    for site, row in series.items():
+        assert [d["i"] for d in row["days"]] == list(range(len(row["days"])))
         for ord_, (interval, threshold) in enumerate(arms):
             e = lost = total = 0.0
             events, last = 0, -999
-            for i in range(365):
-                doy = (start + datetime.timedelta(days=i)).timetuple().tm_yday
-                f = (1 + 0.65 * math.exp(-((doy - 60) / 45) ** 2) + 0.35 * math.exp(-((doy - 300) / 32) ** 2)) * bias
+            for i, (_, f, kwh) in enumerate(row["days"]):
                 e = min(400.0, e + f)
-                pct = 100 * min(0.55, lmax * (1 - math.exp(-e / tau)))
-                irr = winter + (summer - winter) * (1 + math.cos(2 * math.pi * (doy - 180) / 365)) / 2
-                total, lost = total + pct, lost + irr * pr * pct / 100
-                clean = (i + 1) % interval == 0 if interval else bool(threshold) and pct >= threshold and i - last >= 2
+                pct = 100 * min(0.55, row["lmax"] * (1 - math.exp(-e / row["tau"])))
+                total += pct
+                lost += kwh * pct / 100
+                clean = (i + 1) % interval == 0 if interval else threshold is not None and pct >= threshold and i - last >= 2
                 if clean:
-                    events, e, last = events + 1, 0.0, i
-            row = got[name, ord_]
-            assert row["events"] == events
-            assert row["lost_kwh_per_kwp"] == pytest.approx(lost)
-            assert row["mean_loss_pct"] == pytest.approx(total / 365)
+                    e, last, events = 0.0, i, events + 1
+            r = got[site, ord_]
+            assert r["events"] == events and r["n_days"] == len(row["days"])
+            assert r["lost_kwh_per_kwp"] == pytest.approx(lost) and r["mean_loss_pct"] == pytest.approx(total / len(row["days"]))
