@@ -17,7 +17,7 @@ null. Repeated rows are members like others. Empty table: empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -240,7 +240,7 @@ def classes(docs: DataFrame) -> DataFrame:
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
     """One row of each component, that of the smallest id; rows without an id stay. All columns unchanged."""
     kept = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("kept_id"))

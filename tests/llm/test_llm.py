@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dustspark.llm import ids, lines, mixing, packing, quality, queries, secrets, simhash, syncmers, tokens, toxicity, warc
+from dustspark.llm import ids, jaccard, lines, mixing, packing, quality, queries, secrets, simhash, syncmers, tokens, toxicity, warc
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, doc string, id string, n int, size int, copies int, "
           "ids string, place int, range int, home int, text_hash int, kept_id int, key int, a int, t string, h int, runs int")
@@ -386,6 +386,34 @@ def test_magic_inside_a_member_is_refused(tmp_path):
 
 
 # ---- pipeline
+def test_near_dedup_equals_brute_force_jaccard(spark):
+    rng = random.Random(8)
+    texts = [None, "", " \n", "one two", "One  two", "one two three"]
+    for k in range(12):  # copies with words replaced, around the least similarity, and a passage that all have
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((30, 120, 400)))] + "a passage that every document has".split()
+        for _ in range(25):
+            ws = list(base)
+            for _ in range(rng.randrange(max(2, len(ws) // 25))):
+                ws[rng.randrange(len(ws))] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(ws))
+    rng.shuffle(texts)
+
+    def grams(t):
+        ws = (t or "").lower().split()
+        return {tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+    sets, label = [grams(t) for t in texts], list(range(len(texts)))
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                pairs += 1
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert pairs > 500 and kept == set(label) and 20 < len(kept) < len(texts) - 50
+
+
 def test_pipeline_equals_its_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, small).cache()
