@@ -3,7 +3,8 @@
 Known shapes are assignments to names of secrets, access keys and long hex strings; their spans always stay. The
 entropy scan looks at candidate strings (runs of hex or of base64 characters) and slides a window over each; the window's
 Shannon entropy is kept by incremental counts, a character in and one out at a time. A stretch of windows at or above the
-class's threshold is a span of kind ``entropy``, unless it is on the allow-list, or inside a known span.
+class's threshold is a span of kind ``entropy``, unless it is inside a known span. Allow-listed characters are cut out of a candidate
+before, and what they leave is scanned.
 
 Null text counts as empty; it and any text without a secret have no spans. Rows are scanned alone, as whole texts.
 """
@@ -28,12 +29,16 @@ LEAST_VALUE = 8
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-#: class name, its characters, least entropy of a window in bits per character, least kinds among lower, upper, digit
+#: class name, its characters, least entropy of a window in bits per character, least kinds among lower, upper, digit, least share of digits
 CLASSES = (
-    ("hex", "0-9A-Fa-f", 3.1, 2),
-    ("base64", r"A-Za-z0-9+/_\-", 3.8, 3),
+    ("hex", "0-9A-Fa-f", 3.1, 2, 0.0),
+    ("base64", r"A-Za-z0-9+/_\-", 3.8, 3, 0.0),
+    ("base36", "0-9a-z", 3.6, 2, 0.1),
+    ("base32", "0-9A-Z", 3.6, 2, 0.1),
 )
-CANDIDATES = tuple((name, re.compile(f"(?<![{chars}])[{chars}]{{{WINDOW},}}={{0,2}}"), least, kinds) for name, chars, least, kinds in CLASSES)
+CANDIDATES = tuple((re.compile(f"(?<![{chars}])[{chars}]{{{WINDOW},}}={{0,2}}"), least, kinds, digits) for _, chars, least, kinds, digits in CLASSES)
+#: runs that hold the candidates of all classes
+RUNS = re.compile(rf"[A-Za-z0-9+/_\-]{{{WINDOW},}}")
 #: strings that look random and are not secret: identifiers, digests by name, addresses, examples
 ALLOWED = (
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE),
@@ -49,6 +54,21 @@ def _mixed(s: str) -> int:
     return any(c.islower() for c in s) + any(c.isupper() for c in s) + any(c.isdigit() for c in s)
 
 
+def _allowed(text: str) -> list[tuple[int, int]]:
+    """Allow-listed places in runs of candidate characters, by start."""
+    return sorted(x.span() for m in RUNS.finditer(text) for p in ALLOWED for x in p.finditer(text, m.start(), m.end()))
+
+
+def _pieces(start: int, end: int, allowed: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the allow-listed places leave of a candidate."""
+    out = []
+    for x, y in allowed:
+        if x < end and start < y:
+            out.append((start, x))
+            start = max(start, y)
+    return [(x, y) for x, y in [*out, (start, end)] if y - x >= WINDOW]
+
+
 def windows(s: str, least: float) -> list[tuple[int, int]]:
     """Stretches of ``s`` covered by windows with at least that entropy, merged."""
     counts: dict[str, int] = {}
@@ -79,18 +99,26 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     spans += [("access", *m.span()) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     known = list(spans)
-    added: list[tuple[int, int]] = []
-    for _, pattern, least, kinds in CANDIDATES:
+    found: list[tuple[int, int]] = []
+    allowed: list[tuple[int, int]] | None = None
+    for pattern, least, kinds, digits in CANDIDATES:
         for m in pattern.finditer(text):
-            s = m.group().rstrip("=")
             if ALLOWED_BEFORE.search(text, max(0, m.start() - BEFORE), m.start()):
                 continue
-            for a, b in windows(s, least):
-                if _mixed(s[a:b]) < kinds or any(p.search(s, a, b) for p in ALLOWED):
-                    continue
-                a, b = a + m.start(), b + m.start()
-                if not any(x <= a and b <= y for _, x, y in known) and not any(x < b and a < y for x, y in added):
-                    added.append((a, b))
+            allowed = _allowed(text) if allowed is None else allowed
+            for start, end in _pieces(m.start(), m.start() + len(m.group().rstrip("=")), allowed):
+                for a, b in windows(text[start:end], least):
+                    a, b = a + start, b + start
+                    if _mixed(text[a:b]) < kinds or sum(c.isdigit() for c in text[a:b]) < digits * (b - a):
+                        continue
+                    if not any(x <= a and b <= y for _, x, y in known):
+                        found.append((a, b))
+    added: list[tuple[int, int]] = []  # overlapping stretches of several classes are one
+    for a, b in sorted(found):
+        if added and a < added[-1][1]:
+            added[-1] = (added[-1][0], max(b, added[-1][1]))
+        else:
+            added.append((a, b))
     spans += [("entropy", a, b) for a, b in added]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -343,6 +343,21 @@ def test_secret_spans():
     assert secrets.scan("antidisestablishmentarianism internationalisation 550e8400-e29b-41d4-a716-446655440000") == []
 
 
+def test_random_tokens_of_each_alphabet_are_found():
+    rng = random.Random(9)
+    for chars in (string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567", string.ascii_letters + string.digits):
+        found = sum(any(s[0] == "entropy" for s in secrets.scan("see " + "".join(rng.choices(chars, k=40)) + " here")) for _ in range(300))
+        assert found > 270, (chars, found)
+    assert secrets.scan("internationalisationabcdefgh ANTIDISESTABLISHMENTARIANISM") == []
+
+
+def test_allow_list_suppresses_its_own_characters_only():
+    key, uuid = "Zk3qP9xLr7TvB2nWm8YcD4sGf6HjQ1aE", "550e8400-e29b-41d4-a716-446655440000"
+    assert secrets.scan(f"{uuid}_{key}") and all(s[0] == "entropy" and s[1] >= 36 for s in secrets.scan(f"{uuid}_{key}"))
+    assert [s[2] for s in secrets.scan(f"{key}example")] == [len(key)]
+    assert secrets.scan(uuid) == []
+
+
 def test_window_entropy_equals_recounting():
     rng = random.Random(7)
     s = "".join(rng.choices("abcdef0123456789", k=90)) + "a" * 30
