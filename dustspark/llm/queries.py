@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, and their SQL where SQL can express them."""
+"""The operators as queries over the given tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustspark.llm import ids, lines, mixing, packing, quality, secrets, simhash, syncmers, toxicity, warc
+from dustspark.llm import ids, lines, mixing, packing, piece_bpe, quality, secrets, simhash, syncmers, toxicity, warc
 from dustspark.llm.common import read
 
 
@@ -57,9 +57,13 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(read(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_bpe.round_trip(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_toxicity, op3_packing, op4_simhash, op5_line_dedup, op6_mixing, op7_syncmers, op8_token_files,
-    op9_secret_scan, op10_warc)}
+    op9_secret_scan, op10_warc, op11_piece_bpe)}
 
 
 def _quality_sql() -> str:
