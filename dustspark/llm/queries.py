@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustspark.llm import ids, lines, mixing, packing, piece_bpe, quality, secrets, simhash, syncmers, toxicity, warc
+from dustspark.llm import ids, lines, mixing, packing, periodic, piece_bpe, quality, secrets, simhash, syncmers, toxicity, warc
 from dustspark.llm.common import read
 
 
@@ -61,9 +61,14 @@ def op11_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return piece_bpe.round_trip(read(spark, folder, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.detect(read(spark, folder, "documents"), periodic.tail_repeated, texts=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_toxicity, op3_packing, op4_simhash, op5_line_dedup, op6_mixing, op7_syncmers, op8_token_files,
-    op9_secret_scan, op10_warc, op11_piece_bpe)}
+    op9_secret_scan, op10_warc, op11_piece_bpe,
+    op12_periodic_runs)}
 
 
 def _quality_sql() -> str:
