@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustspark.llm import ids, lines, mixing, packing, periodic, piece_bpe, quality, secrets, simhash, syncmers, toxicity, warc
+from dustspark.llm import collocations, ids, lines, mixing, packing, periodic, piece_bpe, quality, secrets, simhash, syncmers, toxicity, warc
 from dustspark.llm.common import read
 
 
@@ -65,10 +65,14 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.detect(read(spark, folder, "documents"), periodic.tail_repeated, texts=False)
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_toxicity, op3_packing, op4_simhash, op5_line_dedup, op6_mixing, op7_syncmers, op8_token_files,
     op9_secret_scan, op10_warc, op11_piece_bpe,
-    op12_periodic_runs)}
+    op12_periodic_runs, op13_collocations)}
 
 
 def _quality_sql() -> str:
@@ -97,4 +101,4 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f"""
 
 
-SQL: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op6_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op6_mixing": mixing.SQL, "op13_collocations": collocations.sql()}

@@ -55,6 +55,9 @@ def test_odd_and_empty_tables(spark, odd, empty, name):
         assert sorted(got["record_type"]) == ["response"] * 4 + ["revisit"] * 3
     elif name == "op3_packing":
         assert got["length"].sum() == sum(d["doc_tokens"] for d in got[got.start == 0].to_dict("records"))
+    elif name == "op13_collocations":
+        # one long text: its 12701 words come round by 13 and by 977, so every phrase is a candidate that a longer one holds
+        assert set(got["lang"]) == {"en"}
     else:
         assert len(got) == 12
     assert len(queries.QUERIES[name](spark, empty).toPandas()) == 0
@@ -75,8 +78,10 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty):
 def test_equals_sql(spark, small, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
-    want = con.execute(queries.SQL[name]).df().sort_values("doc_id").reset_index(drop=True)
-    got = queries.QUERIES[name](spark, small).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = con.execute(queries.SQL[name]).df()
+    key = "doc_id" if "doc_id" in want else ["lang", "rank"]
+    want = want.sort_values(key).reset_index(drop=True)
+    got = queries.QUERIES[name](spark, small).toPandas().sort_values(key).reset_index(drop=True)
     pd.testing.assert_frame_equal(got[sorted(got)], want[sorted(want)], check_dtype=False)
 
 
