@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dustspark import constants as C
 from dustspark.operators import evaluation as EV
 from dustspark.operators import features as FE
-from dustspark.plans.catalog.base import query, rounded, sql
+from dustspark.plans.catalog.base import SQL_FEATURES, query, rounded, sql
 from dustspark.sources import fixtures as X
 
 _PARTS = """, parts AS (SELECT *, CASE WHEN date < DATE '2000-01-01' THEN 'train' WHEN date < DATE '2001-01-01' THEN 'val' ELSE 'test' END AS split FROM scored) """
@@ -41,15 +42,13 @@ def site_folds(spark: SparkSession, d: str) -> DataFrame:
     return EV.site_folds(scored(spark, d).select("site_id", "date"), X.VAL_START)
 
 
-_MEASURES = ["pm10_max", "pm10_mean", "dust_max", "dust_mean", "aod_mean", "gust_max_ms", "wind_max_ms", "precip_mm", "ghi_mj_m2", "tmean_c", "rh_mean_pct"]
-
-
-@query("m7_standardise", "M7", sql("daily", ", st AS (SELECT " + ", ".join(f"avg({c}) AS {c}__m, stddev_pop({c}) AS {c}__s" for c in _MEASURES)
-    + " FROM daily WHERE date < DATE '2000-01-01')\n    SELECT site_id, date, "
-    + ", ".join(f"round(({c}-{c}__m)/CASE WHEN {c}__s < 1e-9 THEN 1 ELSE {c}__s END,6) AS {c}" for c in _MEASURES) + " FROM daily, st"))
+@query("m7_standardise", "M7", sql("samples", ", f AS (SELECT site_id, date, " + SQL_FEATURES + " FROM samples), st AS (SELECT " + ", ".join(f"avg({c}) AS {c}__m, stddev_pop({c}) AS {c}__s" for c in C.FEATURES)
+    + " FROM f WHERE date < DATE '2000-01-01')\n    SELECT site_id, date, "
+    + ", ".join(f"round(({c}-{c}__m)/CASE WHEN {c}__s < 1e-9 THEN 1 ELSE {c}__s END,4) AS {c}" for c in C.FEATURES) + " FROM f, st"))
 def standardise(spark: SparkSession, d: str) -> DataFrame:
-    n = X.daily(spark, d).select("site_id", "date", *_MEASURES)
-    return rounded(EV.standardise(n, _MEASURES, F.col("date") < F.lit(X.VAL_START).cast("date")), 6)
+    """All features that the models see."""
+    n = FE.make_samples(X.daily(spark, d), X.VAL_START).select("site_id", "date", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in C.FEATURES])
+    return rounded(EV.standardise(n, C.FEATURES, F.col("date") < F.lit(X.VAL_START).cast("date")), 4)
 
 
 @query("m8_blend_weights", "M8", sql("scored", """, tr AS (SELECT *, row_number() OVER (ORDER BY date, site_id) AS pos, count(*) OVER () AS n FROM scored WHERE date < DATE '2000-01-01'),
@@ -139,8 +138,8 @@ def mean_baseline(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"), F.max("p").alias("baseline")), 6)
 
 
-@query("m17_fold_means", "M17", sql("scored", _PARTS.lstrip() + """, f AS (SELECT site_id, avg(abs(ghi_mj_m2/3.6::DOUBLE*0.8::DOUBLE-yield_t1)) AS mae, 1-avg(pow(ghi_mj_m2/3.6::DOUBLE*0.8::DOUBLE-yield_t1,2))/var_pop(yield_t1) AS r2 FROM parts WHERE split <> 'train' GROUP BY 1)
+@query("m15_site_baseline_means", "M15 M9", sql("scored", _PARTS.lstrip() + """, f AS (SELECT site_id, avg(abs(ghi_mj_m2/3.6::DOUBLE*0.8::DOUBLE-yield_t1)) AS mae, 1-avg(pow(ghi_mj_m2/3.6::DOUBLE*0.8::DOUBLE-yield_t1,2))/var_pop(yield_t1) AS r2 FROM parts WHERE split <> 'train' GROUP BY 1)
     SELECT round(avg(mae),6) AS mae_mean, round(avg(r2),6) AS r2_mean FROM f"""))
-def fold_means(spark: SparkSession, d: str) -> DataFrame:
+def site_baseline_means(spark: SparkSession, d: str) -> DataFrame:
     rows = parts(spark, d).filter(F.col("split") != "train").select("site_id", F.col("yield_t1").alias("y"), (F.col("ghi_mj_m2") / 3.6 * 0.8).alias("p"))
     return rounded(EV.fold_means(EV.regression_report(rows, ["site_id"]), ["mae", "r2"]), 6)

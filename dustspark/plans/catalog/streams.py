@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustspark.operators import schedule as SC
@@ -38,9 +38,53 @@ def _run_daily(spark: SparkSession, d: str, twice: bool) -> DataFrame:
     return rounded(spark.read.parquet(f"{folder}/out").filter(F.col("site_id") >= 0), 6)
 
 
-@query("r1_daily_stream", "R1", sql("hourly", _DAYS))
+# some hours arrive days after their time; a file holds what arrives within three days
+_SPAN, _ONE_DAY = 3, "1 day"
+_ARRIVED = """, a AS (SELECT *, datediff('day', (SELECT min(CAST(ts AS DATE)) FROM hourly), CAST(ts AS DATE)) + CASE (site_id*7 + hour(ts)*3 + dayofyear(ts)) % 19 WHEN 0 THEN 6 WHEN 1 THEN 2 ELSE 0 END AS arrival FROM hourly),
+    b AS (SELECT *, arrival // 3 AS batch FROM a),
+    m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS passed FROM b GROUP BY 1),
+    l AS (SELECT b.*, passed, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= passed, false) AS late FROM b JOIN m USING (batch))
+    """
+
+
+def _arrivals(hours: DataFrame) -> DataFrame:
+    """Hours with the number of the file that they arrive in."""
+    first = hours.agg(F.min(F.to_date("ts")).alias("_first"))
+    odd = F.pmod(F.col("site_id") * 7 + F.hour("ts") * 3 + F.dayofyear("ts"), F.lit(19))
+    arrival = F.datediff(F.to_date("ts"), "_first") + F.when(odd == 0, 6).when(odd == 1, 2).otherwise(0)
+    return hours.join(F.broadcast(first)).withColumn("arrival", F.floor(arrival / _SPAN).cast("int")).drop("_first")
+
+
+def _in_turn(rows: DataFrame, folder: str, closes: Column, lateness: str) -> DataFrame:
+    """Delivers the rows by ``arrival``, a folder at a time, to a stream that diverts late ones; the stream of the others."""
+    schema = rows.drop("arrival").schema
+    rows.write.partitionBy("arrival").parquet(f"{folder}/sent")
+    for (k,) in sorted(rows.select("arrival").distinct().collect()):  # as many as there are deliveries
+        rows.sparkSession.read.schema(schema).parquet(f"{folder}/sent/arrival={k}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        L.divert_late(L.watch_hours(rows.sparkSession, f"{folder}/in", schema), folder, f"{folder}/ckpt-split", lateness, closes)
+    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", True).parquet(f"{folder}/ontime")
+
+
+@query("r1_daily_stream", "R1", sql("hourly", _ARRIVED.lstrip() + _DAYS.replace("FROM hourly", "FROM l WHERE NOT late")))
 def daily_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _run_daily(spark, d, twice=False)
+    """Days rolled up from hours that arrive in turn, a lateness of one day; later hours are in no day (see r1_late_hours)."""
+    folder = scratch(spark)
+    hours = _arrivals(X.hourly(spark, d))
+    # a closing observation moves the watermark past the last real day
+    last = hours.agg((F.max("ts") + F.expr("interval 9 days")).alias("ts"), (F.max("arrival") + 1).alias("arrival"))
+    hours = hours.unionByName(last.withColumn("site_id", F.lit(-1).cast("long")), allowMissingColumns=True)
+    days = L.daily_stream(_in_turn(hours, folder, L.day_end(F.col("ts")), _ONE_DAY), _ONE_DAY)
+    L.run_available(days, f"{folder}/out", f"{folder}/ckpt")
+    return rounded(spark.read.parquet(f"{folder}/out").filter(F.col("site_id") >= 0), 6)
+
+
+@query("r1_late_hours", "R1", sql("hourly", _ARRIVED.lstrip() + "SELECT site_id, CAST(ts AS VARCHAR) AS ts, CAST(passed AS VARCHAR) AS watermark, round(pm10, 6) AS pm10 FROM l WHERE late"))
+def late_hours(spark: SparkSession, d: str) -> DataFrame:
+    """The hours that came after the watermark had passed their day, with the watermark that they met."""
+    folder = scratch(spark)
+    _in_turn(_arrivals(X.hourly(spark, d)), folder, L.day_end(F.col("ts")), _ONE_DAY)
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("ts", "watermark")]
+    return rounded(spark.read.parquet(f"{folder}/late").select("site_id", *shown, "pm10"), 6)
 
 
 @query("r2_deduplicated_stream", "R2", sql("hourly", _DAYS))
@@ -56,17 +100,24 @@ def deduplicated(spark: SparkSession, d: str) -> DataFrame:
       pm10_max >= threshold AS storm_alert FROM d JOIN fold ON fold.site_id=d.site_id AND fold.i=d.i""".replace(
           "{f}", sql_dust_factor()), recursive=True))
 def site_state(spark: SparkSession, d: str) -> DataFrame:
+    """Days arrive up to two days late and out of order, over several triggers; the state still follows the calendar."""
     folder = scratch(spark)
     outlook = SC.dust_outlook(X.rollup(spark, d), X.sites(spark, d)).select("site_id", "date", "dust_factor", "precip_mm")
     limits = with_threshold(X.daily(spark, d), X.VAL_START).select("site_id", "date", "pm10_max", "threshold")
-    days = outlook.join(limits, ["site_id", "date"])
-    days.repartitionByRange(4, "date").write.mode("overwrite").parquet(f"{folder}/in")
+    days = outlook.join(limits, ["site_id", "date"]).withColumn("ts", F.col("date").cast("timestamp"))
+    # a file holds what arrives in 250 days; a day's own delay is nought to two days
+    delay = F.pmod(F.xxhash64("site_id", "date"), F.lit(3)).cast("int")
+    days = days.withColumn("arrival", F.floor(F.unix_date(F.date_add("date", delay)) / 250))
+    closing = days.groupBy("site_id").agg(F.lit(None).cast("date").alias("date")).join(F.broadcast(days.agg(
+        (F.max("ts") + F.expr("interval 9 days")).alias("ts"), (F.max("arrival") + 1).alias("arrival"))))
+    zero = {c: F.lit(0.0) for c in ("dust_factor", "precip_mm", "pm10_max", "threshold")}
+    rows = days.unionByName(closing.withColumns(zero)).drop("date")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, L.ROCKSDB)
     try:
-        stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-        L.run_available(L.site_state_stream(stream), f"{folder}/out", f"{folder}/ckpt")
+        stream = _in_turn(rows, folder, F.col("ts"), "3 days")
+        L.run_available(L.site_state_stream(stream, "3 days"), f"{folder}/out", f"{folder}/ckpt")
     finally:
         spark.conf.set(key, before)
     out = spark.read.parquet(f"{folder}/out")

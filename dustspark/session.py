@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,23 @@ def scratch(spark: SparkSession) -> str:
     return _own_folder(spark, "dustspark-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame as Parquet in a fresh shared folder: for frames that several reports read. Unlike a checkpoint, whose
+    plan keeps all that can be derived of its columns' equalities, it costs nothing to plan for wide frames."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def send_code(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers, once per Spark context, so that their functions can import it."""
+    context = spark.sparkContext
+    if not getattr(context, "_dustspark_sent", False):
+        root = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='dustspark-code-')}/dustspark-code", "zip", root.parent, root.name))
+        context._dustspark_sent = True
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a scan with fewer splits than cores before work which is heavy per row (text).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -43,39 +43,97 @@ def _has_watermark(df: DataFrame) -> bool:
     return "spark.watermarkDelayMs" in df.schema["ts"].metadata
 
 
+def split_late(batch: DataFrame, batch_id: int, folder: str, lateness: str, closes: Column, kept: list[str]) -> None:
+    """One micro-batch into two sinks: rows whose ``closes`` (the event time after which they count no more) the watermark has passed go to ``late``.
+
+    The watermark is the latest ``ts`` of all batches before, less the lateness, as a stream's own. Each batch's
+    latest ``ts`` is kept beside the sinks, and a batch's folders are overwritten, so a batch that is run again after a
+    failure leaves the same rows, once.
+    """
+    spark = batch.sparkSession
+    clock = f"{folder}/clock"
+    spark.createDataFrame([], "batch long, latest timestamp").write.mode("ignore").parquet(f"{clock}/batch=-1")
+    seen = spark.read.schema("latest timestamp, batch long").parquet(clock).where(F.col("batch") < batch_id).agg(F.max("latest").alias("m")).first()["m"]
+    passed = F.lit(None).cast("timestamp") if seen is None else F.lit(seen) - F.expr(f"INTERVAL {lateness}")
+    late = F.coalesce(closes <= passed, F.lit(False))
+    rows = batch.persist()
+    try:
+        rows.where(~late).select(*kept).write.mode("overwrite").parquet(f"{folder}/ontime/batch={batch_id}")
+        rows.where(late).select(*kept, passed.alias("watermark")).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        rows.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{clock}/batch={batch_id}")
+    finally:
+        rows.unpersist()
+
+
+def divert_late(stream: DataFrame, folder: str, checkpoint: str, lateness: str, closes: Column) -> None:
+    """Runs what is there of a stream (one file a batch if it was opened so) through ``split_late``."""
+    kept = list(stream.columns)
+    query = stream.writeStream.foreachBatch(lambda rows, n: split_late(rows, n, folder, lateness, closes, kept)) \
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def day_end(ts: Column) -> Column:
+    return F.date_trunc("day", ts) + F.expr("INTERVAL 1 DAY")
+
+
+_WAITING = "day long, dust_factor double, precip_mm double, pm10_max double, threshold double"
+
+
 class SiteState(StatefulProcessor):
-    """One value per site: exposure, rows since rain. Days are expected in date order across triggers."""
+    """Per site the exposure and rows since rain, and a list of days that wait for the watermark.
+
+    A day sets an event-time timer at its own time. When the watermark reaches it, the days up to there leave the list in the
+    order of their dates, whatever the order of their arrival. A day delivered again while it waits replaces the first.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._state = handle.getValueState("site", "exposure double, since_rain int")
+        self._waiting = handle.getListState("waiting", _WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        waiting = {w[0]: w for w in self._waiting.get()}
+        for part in rows:
+            for ts, *values in zip(part["ts"], *[part[c].astype(float) for c in ("dust_factor", "precip_mm", "pm10_max", "threshold")], strict=True):
+                at = int(pd.Timestamp(ts).tz_localize("UTC").timestamp() * 1000) if pd.Timestamp(ts).tzinfo is None else int(pd.Timestamp(ts).timestamp() * 1000)
+                if at not in waiting:
+                    self._handle.registerTimer(at)
+                waiting[at] = (at, *map(float, values))
+        self._waiting.put(list(waiting.values()))
+        yield pd.DataFrame({"site_id": [], "day": [], "exposure": [], "days_since_rain": [], "storm_alert": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, rest = [], []
+        for w in self._waiting.get():
+            (due if w[0] <= expiredTimerInfo.getExpiryTimeInMs() else rest).append(w)
         exposure, since = self._state.get() if self._state.exists() else (0.0, C.DAYS_SINCE_CAP)
         out = []
-        # the days of one site in one trigger, a bounded slice of its calendar
-        for day in pd.concat(list(rows)).sort_values("date").itertuples(index=False):
-            exposure = min(C.MAX_EXPOSURE, exposure + day.dust_factor)
-            if day.precip_mm >= C.RAIN_WASHOFF_MM:
+        for day, dust_factor, precip_mm, pm10_max, threshold in sorted(due):
+            exposure = min(C.MAX_EXPOSURE, exposure + dust_factor)
+            if precip_mm >= C.RAIN_WASHOFF_MM:
                 exposure *= C.RAIN_WASHOFF_KEEP
-            since = 0 if day.precip_mm >= 1.0 else min(since + 1, C.DAYS_SINCE_CAP)
-            out.append((key[0], day.date, exposure, since, bool(day.pm10_max >= day.threshold)))
-        self._state.update((float(exposure), int(since)))
-        yield pd.DataFrame(out, columns=["site_id", "date", "exposure", "days_since_rain", "storm_alert"])
+            since = 0 if precip_mm >= 1.0 else min(since + 1, C.DAYS_SINCE_CAP)
+            out.append((key[0], day, exposure, since, bool(pm10_max >= threshold)))
+        if due:
+            self._waiting.put(rest) if rest else self._waiting.clear()
+            self._state.update((float(exposure), int(since)))
+        yield pd.DataFrame(out, columns=["site_id", "day", "exposure", "days_since_rain", "storm_alert"])
 
     def close(self) -> None:
         pass
 
 
-def site_state_stream(days: DataFrame) -> DataFrame:
-    """Running exposure (never cleaned), days since rain and storm alert of each site.
+def site_state_stream(days: DataFrame, lateness: str = "3 days") -> DataFrame:
+    """Running exposure (never cleaned), days since rain and storm alert of each site; a day comes out once the watermark reaches it.
 
-    ``days`` streams (site_id, date, dust_factor, precip_mm, pm10_max, threshold). Needs the RocksDB state store
-    (``spark.sql.streaming.stateStore.providerClass``).
+    ``days`` streams (site_id, ts, dust_factor, precip_mm, pm10_max, threshold), ``ts`` the day as a timestamp. Days that are later than the
+    lateness are dropped; ``divert_late`` in front keeps them. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     site = days.schema["site_id"].dataType.simpleString()
-    return days.groupBy("site_id").transformWithStateInPandas(
-        SiteState(), f"site_id {site}, date date, exposure double, days_since_rain int, storm_alert boolean",
-        "Append", "None")
+    released = days.withWatermark("ts", lateness).groupBy("site_id").transformWithStateInPandas(
+        SiteState(), f"site_id {site}, day long, exposure double, days_since_rain int, storm_alert boolean", "Append", "EventTime")
+    return released.select("site_id", F.to_date(F.timestamp_millis("day")).alias("date"), "exposure", "days_since_rain", "storm_alert")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

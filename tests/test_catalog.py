@@ -59,5 +59,5 @@ def test_inventory_is_covered():
     wanted = ([f"A{i}" for i in range(1, 27)] + [f"W{i}" for i in range(1, 21)] + [f"F{i}" for i in range(1, 7)] + [f"J{i}" for i in range(1, 18)]
               + [f"P{i}" for i in range(1, 16)] + [f"X{i}" for i in range(1, 27)] + [f"S{i}" for i in range(1, 16)] + [f"T{i}" for i in range(1, 7)]
               + [f"U{i}" for i in range(1, 5)] + [f"B{i}" for i in range(1, 5)] + [f"M{i}" for i in range(1, 21)] + [f"R{i}" for i in range(1, 4)]
-              + [f"Q{i}" for i in range(1, 12)] + ["K1", "K2", "K3", "K5", "K6", "B5"])
+              + [f"Q{i}" for i in range(1, 12)] + ["K1", "K2", "K3", "K4", "K5", "K6", "B5"])
     assert [w for w in wanted if w not in covered] == []
