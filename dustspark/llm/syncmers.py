@@ -1,11 +1,12 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of five words is chosen when the smallest of its inner 2-word hashes is the first or the last; whether it is chosen
-depends on its own words only, so the same passage has the same anchors in any document. The fingerprint is the SIZE
-smallest distinct 32-bit anchor hashes, as hex; two fingerprints are compared by the share of common hashes among the SIZE
-smallest of both. Texts of one to four words have their word sequence as the only anchor; a text without words has none.
+depends on its own words only, so the same passage has the same anchors in any document, and ``placed`` gives each anchor
+with its word position, for matching passages by position. Two documents are compared by all their anchors: the share of common
+ones among those of either. The printed fingerprint is the SIZE smallest of them, as hex.
 
-Null text is empty. Two fingerprints without anchors are alike (1.0), one without is unlike any other (0.0).
+Texts of one to four words, and longer ones in which no k-mer is chosen, have their word sequence as the only anchor; a text
+without words has none. Null text is empty. Two texts without anchors are alike (1.0), one without is unlike any other (0.0).
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ K = 5
 SIZE = 64
 
 
-def anchors(text: Column) -> Column:
-    """The SIZE smallest distinct anchor hashes of a text, sorted (array of long, each below 2^32)."""
+def placed(text: Column) -> Column:
+    """Every anchor of a text with the position of its first word: array of (position, hash), hashes below 2^32."""
+    def at(i: Column, value: Column) -> Column:
+        return F.struct(i.cast("int").alias("position"), F.shiftrightunsigned(value, 32).alias("hash"))
+
     def chosen(h: Column, n: Column) -> Column:
         pairs = F.zip_with(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1), lambda a, b: F.xxhash64(a, b))
 
@@ -29,25 +33,30 @@ def anchors(text: Column) -> Column:
             def test(i: Column) -> Column:
                 a, d = F.get(p, i), F.get(p, i + 3)
                 return F.least(a, d) <= F.least(F.get(p, i + 1), F.get(p, i + 2))
-            return F.transform(F.filter(F.sequence(F.lit(0), n - K), test), lambda i: F.xxhash64(F.get(p, i), F.get(p, i + 2), F.get(h, i + 4)))
+            return F.transform(F.filter(F.sequence(F.lit(0), n - K), test), lambda i: at(i, F.xxhash64(F.get(p, i), F.get(p, i + 2), F.get(h, i + 4))))
         return let(pairs, edge)
 
     def hashed(ws: Column) -> Column:
         n = F.size(ws)
-        few = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(ws)))
-        return F.when(n < K, few).otherwise(let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: chosen(h, n)))
-    all_ = let(words(text), hashed)
-    return F.slice(F.sort_array(F.array_distinct(F.transform(all_, lambda v: F.shiftrightunsigned(v, 32)))), 1, SIZE)
+        whole = F.array(at(F.lit(0), F.xxhash64(ws)))
+        some = F.when(n >= K, let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: chosen(h, n)))
+        return F.when(n > 0, let(some, lambda found: F.when(F.size(found) > 0, found).otherwise(whole))).otherwise(F.slice(whole, 1, 0))
+    return let(words(text), hashed)
+
+
+def anchors(text: Column) -> Column:
+    """The distinct anchor hashes of a text, sorted (array of long)."""
+    return F.sort_array(F.array_distinct(F.transform(placed(text), lambda x: x["hash"])))
 
 
 def printed(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))), "")
+    """The fingerprint: the SIZE smallest of the sorted hashes."""
+    return F.array_join(F.transform(F.slice(hashes, 1, SIZE), lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common hashes among the SIZE smallest of both."""
-    return let(F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE), lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)))
+    """Share of common hashes among all of both."""
+    return let(F.size(F.array_intersect(a, b)), lambda both: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)))
 
 
 def with_next(rows: DataFrame, order: str, carried: list[str]) -> DataFrame:
@@ -75,11 +84,14 @@ def with_next(rows: DataFrame, order: str, carried: list[str]) -> DataFrame:
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, the text whose last half is replaced from the next document, and both likenesses."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    rows = with_next(rows.withColumn("a", anchors(F.col("t"))), "doc_id", ["t", "a"])
+    # texts travel, not anchors: those of the next document are made again from its text
+    rows = with_next(rows, "doc_id", ["t"])
     n = F.length("t")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("t", F.lit(1), n - half), F.substring(F.coalesce("next_t", "t"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "a", F.coalesce("next_a", "a").alias("next_a"), edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "a", "next_a", F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("edited")).alias("e"))
+    following = F.coalesce("next_t", "t")
+    edited = F.concat(F.substring("t", F.lit(1), n - half), F.substring(following, F.lit(1), half))
+    # arrays of one row or none keep an expression that is used twice from being computed twice
+    made = F.array(F.struct("doc_id", n.cast("long").alias("n_chars"), anchors(F.col("t")).alias("a"), anchors(following).alias("b"), F.sha2(edited, 256).alias("edited_sha256"), anchors(edited).alias("e")))
+    rows = rows.select(F.inline(made))
     return rows.select("doc_id", "n_chars", "edited_sha256", printed(F.col("a")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"),
-                       likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("next_a")).alias("near_next"))
+                       likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("b")).alias("near_next"))
