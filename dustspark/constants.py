@@ -116,28 +116,27 @@ FEATURES = [
     "dust_factor_today",
 ]
 
-# Accepted input names -> canonical column
+# Accepted input name -> canonical column
 ALIASES = {
-    "lat": ["latitude"],
-    "lon": ["longitude"],
-    "elevation_m": ["elevation", "elev"],
-    "tmean_c": ["temperature", "temp", "temp_mean", "t2m", "temperature_2m", "temperature_2c", "air_temp"],
-    "tmax_c": ["tmax", "temperature_max"],
-    "tmin_c": ["tmin", "temperature_min"],
-    "rh_mean_pct": ["humidity", "rh", "relative_humidity", "relative_humidity_2m", "rh2m"],
-    "wind_max_kmh": ["wind", "wind_speed", "wind_max", "windspeed_10m_max", "wind_speed_10m_max"],
-    "gust_max_kmh": ["gust", "gusts", "wind_gusts_10m_max", "gusts_max_kmh"],
-    "precip_mm": ["precip", "rain", "precipitation", "precipitation_sum"],
-    "radiation_mj_m2": ["radiation", "shortwave_radiation_sum", "ghi"],
-    "et0_mm": ["et0", "evapotranspiration"],
-    "pm10_mean_ugm3": ["pm10", "pm10_mean"],
-    "pm2_5_mean_ugm3": ["pm25", "pm2_5", "pm2.5"],
-    "dust_mean_ugm3": ["dust", "dust_concentration"],
-    "aod_mean": ["aod", "aerosol_optical_depth", "aerosol_optical_depth_mean"],
-    "days_since_rain": [],
-    "days_since_clean": [],
-    "doy": ["day_of_year"],
-    "date": [],
+    "latitude": "lat", "longitude": "lon", "elevation": "elevation_m", "elev": "elevation_m",
+    "temperature": "tmean_c", "temp": "tmean_c", "temp_mean": "tmean_c", "t2m": "tmean_c",
+    "temperature_2m": "tmean_c", "temperature_2c": "tmean_c", "air_temp": "tmean_c",
+    "tmax": "tmax_c", "temperature_max": "tmax_c", "tmin": "tmin_c", "temperature_min": "tmin_c",
+    "humidity": "rh_mean_pct", "rh": "rh_mean_pct", "relative_humidity": "rh_mean_pct",
+    "relative_humidity_2m": "rh_mean_pct", "rh2m": "rh_mean_pct",
+    "wind": "wind_max_kmh", "wind_speed": "wind_max_kmh", "wind_max": "wind_max_kmh",
+    "windspeed_10m_max": "wind_max_kmh", "wind_speed_10m_max": "wind_max_kmh",
+    "gust": "gust_max_kmh", "gusts": "gust_max_kmh", "wind_gusts_10m_max": "gust_max_kmh",
+    "gusts_max_kmh": "gust_max_kmh",
+    "precip": "precip_mm", "rain": "precip_mm", "precipitation": "precip_mm", "precipitation_sum": "precip_mm",
+    "radiation": "radiation_mj_m2", "shortwave_radiation_sum": "radiation_mj_m2", "ghi": "radiation_mj_m2",
+    "et0": "et0_mm", "evapotranspiration": "et0_mm",
+    "pm10": "pm10_mean_ugm3", "pm10_mean": "pm10_mean_ugm3",
+    "pm25": "pm2_5_mean_ugm3", "pm2_5": "pm2_5_mean_ugm3", "pm2.5": "pm2_5_mean_ugm3",
+    "dust": "dust_mean_ugm3", "dust_concentration": "dust_mean_ugm3",
+    "aod": "aod_mean", "aerosol_optical_depth": "aod_mean", "aerosol_optical_depth_mean": "aod_mean",
+    "days_since_rain": "days_since_rain", "days_since_clean": "days_since_clean",
+    "day_of_year": "doy", "doy": "doy", "date": "date",
 }
 # Rolling columns which take the instantaneous value when absent
 ROLL_SOURCES = {

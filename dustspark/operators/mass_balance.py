@@ -122,14 +122,16 @@ def steady_state(prepared: DataFrame, factors: DataFrame, rows: int = 365, inter
             .groupBy("site_id").agg(F.avg("soiling_loss_pct").alias("no_clean_loss_pct")))
 
 
-def calibration_table(calibrated: DataFrame, yearly: DataFrame | None = None) -> DataFrame:
-    """Means of the calibrated loss by coast and region group, one row."""
+def calibration_table(calibrated: DataFrame, yearly: DataFrame) -> DataFrame:
+    """Means of the calibrated loss by coast and region group, and of the last-year means (site_id, mean_value) by coast, one row."""
     loss = F.col("achieved_loss_pct")
-    return calibrated.agg(
+    return calibrated.join(yearly.select("site_id", "mean_value"), "site_id", "left").agg(
         F.avg(F.when(F.col("region") == "west", loss)).alias("west_mean_pct"),
         F.avg(F.when(F.col("region") == "east", loss)).alias("east_mean_pct"),
         F.avg(loss).alias("all_mean_pct"),
-        F.avg(F.when(F.col("region") != "east", loss)).alias("non_east_mean_pct"))
+        F.avg(F.when(F.col("region") != "east", loss)).alias("non_east_mean_pct"),
+        F.avg(F.when(F.col("region") == "west", F.col("mean_value"))).alias("west_last_year_pct"),
+        F.avg(F.when(F.col("region") == "east", F.col("mean_value"))).alias("east_last_year_pct"))
 
 
 def last_year_mean(rows: DataFrame, value: str) -> DataFrame:

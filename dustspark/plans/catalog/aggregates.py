@@ -12,7 +12,9 @@ from dustspark.operators import profile as PR
 from dustspark.operators import ranks as R
 from dustspark.plans import reports as RP
 from dustspark.plans.catalog.base import SQL_FEATURES, pick, query, rounded, sql
+from dustspark.session import scratch
 from dustspark.sources import fixtures as X
+from dustspark.sources import sinks as K
 
 _SERVING = """SELECT site_id, CAST(ts AS DATE) AS date, round(sum(coalesce(ghi_wm2,0))/1000,8) AS irradiation_kwh_m2, round(max(temp_c),8) AS tair_max_c,
       round({mean},8) AS tair_mean_c, round(max(temp_c+coalesce(ghi_wm2,0)*0.028::DOUBLE),8) AS tcell_max_c, round(avg(pm10),8) AS pm10_ugm3, round(avg(dust_ugm3),8) AS dust_ugm3,
@@ -138,7 +140,10 @@ def site_profile(spark: SparkSession, d: str) -> DataFrame:
 @query("q8_harvest_report", "Q8 A9 K2", sql("daily_n", """SELECT n_rows, distinct_keys, n_rows-distinct_keys AS duplicate_rows, storm_pm10, storm_pm10_or_dust, pm10_pct FROM (SELECT count(*) AS n_rows, count(DISTINCT (site_id, date)) AS distinct_keys,
       count(*) FILTER (pm10_max >= 200) AS storm_pm10, count(*) FILTER (coalesce(pm10_max,0) >= 200 OR coalesce(dust_max,0) >= 100) AS storm_pm10_or_dust, round(100.0::DOUBLE*count(pm10_max)/count(*),3) AS pm10_pct FROM daily_n)"""))
 def harvest_report(spark: SparkSession, d: str) -> DataFrame:
-    report = RP.harvest_report(X.daily(spark, d, with_nulls=True), _COLS)
+    made = RP.harvest_report(X.daily(spark, d, with_nulls=True), _COLS)
+    folder = scratch(spark)
+    K.write_report(made, folder)
+    report = K.read_report(spark, folder, made)
     return report.select("n_rows", "distinct_keys", "duplicate_rows", "storm_pm10", "storm_pm10_or_dust",
                          F.filter("columns", lambda c: c["column_name"] == "pm10_max")[0]["non_null_pct"].alias("pm10_pct"))
 

@@ -272,12 +272,16 @@ def steady_state(spark: SparkSession, d: str) -> DataFrame:
     return rounded(MB.steady_state(_prepared(spark, d), _factors(spark, d)))
 
 
-@query("q10_calibration_table", "Q10 A18", sql(
-    "daily_n sites", """SELECT round(avg(CASE WHEN region='west' THEN mean_loss END),4) AS west_mean_pct, round(avg(CASE WHEN region='east' THEN mean_loss END),4) AS east_mean_pct,
-      round(avg(mean_loss),4) AS all_mean_pct, round(avg(CASE WHEN region<>'east' THEN mean_loss END),4) AS non_east_mean_pct FROM p3""",
+@query("q10_calibration_table", "Q10 A18 A19", sql(
+    "daily_n sites", """, ly AS (SELECT site_id, avg(soiling_loss_pct) AS last_year FROM lossy l WHERE year(date) = (SELECT max(year(date)) FROM lossy m WHERE m.site_id=l.site_id) GROUP BY 1)
+    SELECT round(avg(CASE WHEN region='west' THEN mean_loss END),4) AS west_mean_pct, round(avg(CASE WHEN region='east' THEN mean_loss END),4) AS east_mean_pct,
+      round(avg(mean_loss),4) AS all_mean_pct, round(avg(CASE WHEN region<>'east' THEN mean_loss END),4) AS non_east_mean_pct,
+      round(avg(CASE WHEN region='west' THEN last_year END),4) AS west_last_year_pct, round(avg(CASE WHEN region='east' THEN last_year END),4) AS east_last_year_pct FROM p3 LEFT JOIN ly USING (site_id)""",
     _CALIBRATED, recursive=True))
 def calibration_table(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(MB.calibration_table(_calibrated(spark, d)))
+    """Means of the calibrated loss by coast and region group, and of the last calendar year of each site."""
+    yearly = MB.last_year_mean(MB.mass_balance(_prepared(spark, d), _factors(spark, d)), "soiling_loss_pct")
+    return rounded(MB.calibration_table(_calibrated(spark, d), yearly))
 
 
 @query("a19_last_year_mean", "A19", sql(

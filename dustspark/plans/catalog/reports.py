@@ -14,11 +14,9 @@ from dustspark.plans.catalog.base import SQL_FEATURES, SQL_WEATHER_RISK, query,
 from dustspark.plans.catalog.folds import SCHEDULE_SQL
 from dustspark.sources import fixtures as X
 
-_HEAD = "(SELECT * FROM rollup QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY date) <= 14)"
-
-
-def _report_sql(cost: float, interval: int, capacity: float | None) -> str:
-    text = SCHEDULE_SQL.replace("FROM rollup r JOIN", f"FROM {_HEAD} r JOIN").replace("(i+1) % 10 = 0", f"(i+1) % {interval} = 0")
+def _report_sql(cost: float, interval: int, capacity: float | None, horizon: int = 14) -> str:
+    head = f"(SELECT * FROM rollup QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY date) <= {horizon})"
+    text = SCHEDULE_SQL.replace("FROM rollup r JOIN", f"FROM {head} r JOIN").replace("(i+1) % 10 = 0", f"(i+1) % {interval} = 0")
     text = text.replace("*1800", f"*{cost}::DOUBLE")
     if capacity is not None:
         text = text.replace("FROM sites JOIN walk", f"FROM (SELECT * REPLACE ({capacity}::DOUBLE AS capacity_kwp) FROM sites) JOIN walk")
@@ -62,15 +60,19 @@ def dust_events(spark: SparkSession, d: str) -> DataFrame:
     return SC.dust_events(SC.dust_outlook(X.rollup(spark, d), X.sites(spark, d)))
 
 
-@query("q3_site_comparison", "Q3 J14", sql("rollup sites clim candidates", """, rep AS (SELECT v.site_id, loss0, f.mean_loss_pct, CASE WHEN risk_sar > cost*0.9::DOUBLE THEN 'clean_now' ELSE 'wait' END AS decision, risk_sar FROM verdicts v JOIN totals f ON f.site_id=v.site_id AND f.schedule='fixed')
-    SELECT a.site_id AS site_a, b.site_id AS site_b, round(a.loss0,4) AS loss_a, round(b.loss0,4) AS loss_b, round(a.mean_loss_pct,4) AS mean_a, round(b.mean_loss_pct,4) AS mean_b, a.decision AS decision_a, b.decision AS decision_b,
-      round(a.risk_sar,4) AS risk_a, round(b.risk_sar,4) AS risk_b FROM rep a JOIN rep b ON b.site_id = a.site_id+1""", _report_sql(1800.0, 10, None), recursive=True))
+@query("q3_site_comparison", "Q3 J14", sql("rollup sites clim candidates", """, rep AS (SELECT v.site_id, s.climate, literature_pct, loss0, f.mean_loss_pct, CASE WHEN risk_sar > cost*0.9::DOUBLE THEN 'clean_now' ELSE 'wait' END AS decision, risk_sar
+      FROM verdicts v JOIN totals f ON f.site_id=v.site_id AND f.schedule='fixed' JOIN sites s ON s.site_id=v.site_id JOIN clim USING (climate))
+    SELECT a.site_id AS site_a, b.site_id AS site_b, a.climate AS climate_a, b.climate AS climate_b, round(a.loss0,4) AS loss_a, round(b.loss0,4) AS loss_b, round(a.mean_loss_pct,4) AS mean_a, round(b.mean_loss_pct,4) AS mean_b, a.decision AS decision_a, b.decision AS decision_b,
+      round(a.risk_sar,4) AS risk_a, round(b.risk_sar,4) AS risk_b, a.literature_pct AS literature_a, b.literature_pct AS literature_b FROM rep a JOIN rep b ON b.site_id = a.site_id+1""", _report_sql(1800.0, 7, 1000.0, 10), recursive=True))
 def site_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring sites side by side, each as a plant of 1000 kWp cleaned weekly, over ten days, with its climate's published yearly loss."""
     sites = X.sites(spark, d)
-    report = RP.site_report(X.rollup(spark, d), sites).select("site_id", "current_loss_pct", "mean_loss_pct", "decision", "risk_sar")
+    report = RP.site_report(X.rollup(spark, d), sites, horizon=10, interval_days=7, capacity_kwp=1000.0)
+    published = spark.createDataFrame([(name, float(pct)) for name, _, _, _, pct, *_ in C.CLIMATES], "climate string, literature_pct double")
+    report = report.join(F.broadcast(published), "climate").select("site_id", "climate", "current_loss_pct", "mean_loss_pct", "decision", "risk_sar", "literature_pct")
     pairs = sites.select(F.col("site_id").alias("site_a"), (F.col("site_id") + 1).alias("site_b"))
     both = RP.compare_pairs(pairs, report)
-    names = {"loss": "current_loss_pct", "mean": "mean_loss_pct", "decision": "decision", "risk": "risk_sar"}
+    names = {"climate": "climate", "loss": "current_loss_pct", "mean": "mean_loss_pct", "decision": "decision", "risk": "risk_sar", "literature": "literature_pct"}
     return rounded(both.select("site_a", "site_b", *[F.col(f"{s}.{c}").alias(f"{n}_{s}") for n, c in names.items() for s in ("a", "b")]))
 
 

@@ -69,10 +69,10 @@ def squeeze(spark: SparkSession, d: str) -> DataFrame:
                                         F.length(T.squeeze_layout(F.col("text"))).cast("long").alias("layout_chars"))
 
 
-@query("b1_postings", "B1", sql("posts", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(max(dl) AS INTEGER) AS longest FROM posts GROUP BY 1"))
+@query("b1_postings", "B1", sql("posts", "SELECT doc_id, term, tf, CAST(dl AS INTEGER) AS dl FROM posts"))
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return B.postings(X.documents(spark, d)).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("dl").alias("longest"))
+    """Every posting: how often a term is in a document, and the document's length."""
+    return B.postings(X.documents(spark, d)).select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("int").alias("dl"))
 
 
 @query("b2_idf", "B2", sql("idfs", "SELECT term, df, round(idf,6) AS idf FROM idfs"))

@@ -256,14 +256,20 @@ def staged_pulls(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k6_threshold_table", "K6 A4", sql("thresholds", "SELECT site_id, round(threshold,1) AS threshold FROM thresholds"))
 def threshold_table(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(storm_thresholds(X.daily(spark, d), X.VAL_START), 1)
+    """Written as the lookup table that serving reads, and read back."""
+    folder = scratch(spark)
+    K.write_thresholds(storm_thresholds(X.daily(spark, d), X.VAL_START), folder)
+    return K.read_thresholds(spark, folder)
 
 
 @query("t1_sorted_days", "T1 A12 U4", sql("daily_n", """SELECT count(*) AS n_rows, count(*) FILTER (pm10_max IS NOT NULL AND dust_max IS NOT NULL AND aod_mean IS NOT NULL AND ghi_mj_m2 IS NOT NULL
-      AND gust_max_ms IS NOT NULL AND tmean_c IS NOT NULL) AS complete_rows FROM daily_n"""))
+      AND gust_max_ms IS NOT NULL AND tmean_c IS NOT NULL) AS complete_rows, 0::BIGINT AS out_of_order FROM daily_n"""))
 def complete(spark: SparkSession, d: str) -> DataFrame:
-    days = X.daily(spark, d, with_nulls=True).orderBy("site_id", "date")
-    return complete_rows(days, ["pm10_max", "dust_max", "aod_mean", "ghi_mj_m2", "gust_max_ms", "tmean_c"])
+    """Days written in the order of site and date; the order is checked in the files."""
+    folder = scratch(spark)
+    K.write_sorted(X.daily(spark, d, with_nulls=True), folder, ["site_id", "date"])
+    whole = complete_rows(spark.read.parquet(folder), ["pm10_max", "dust_max", "aod_mean", "ghi_mj_m2", "gust_max_ms", "tmean_c"])
+    return whole.join(K.order_breaks(spark, folder, ["site_id", "date"]).select("out_of_order"))
 
 
 @query("u4_duplicate_keys", "U4 A9", """SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS distinct_keys, CAST(sum(c) AS BIGINT) - count(*) AS duplicate_rows

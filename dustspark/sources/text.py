@@ -172,7 +172,7 @@ def latest_runs(listing: DataFrame, column: str = "value", last: int = 3) -> Dat
 
 def canonical_names(df: DataFrame) -> DataFrame:
     """Rename known aliases; several columns of one meaning merge left to right by first non-null."""
-    canonical = {alias: name for name, names in C.ALIASES.items() for alias in [name, *names]}
+    canonical = C.ALIASES | {name: name for name in C.ALIASES.values()}
     groups: dict[str, list[str]] = {}
     for c in df.columns:
         groups.setdefault(canonical.get(c.strip().lower(), c.strip()), []).append(c)

@@ -214,3 +214,13 @@ def test_index_forgets_emptied_and_finds_returning_files(spark, tmp_path):
     back = (2, "cobalt dune", "2024-01-05")
     index.refresh(docs(back), path)
     assert found("cobalt", back) == {2}
+
+
+def test_order_breaks_are_counted(spark, tmp_path):
+    from dustspark.sources import sinks as K
+    rows = spark.range(0, 5000).selectExpr("id % 71 AS site_id", "id DIV 71 AS day")
+    K.write_sorted(rows, str(tmp_path / "a"), ["site_id", "day"])
+    assert tuple(K.order_breaks(spark, str(tmp_path / "a"), ["site_id", "day"]).first()) == (5000, 0)
+    rows.where("day < 2").coalesce(1).write.parquet(str(tmp_path / "b"))
+    assert tuple(K.order_breaks(spark, str(tmp_path / "b"), ["site_id", "day"]).first()) == (142, 1)
+    assert tuple(K.order_breaks(spark, str(tmp_path / "b"), ["day", "site_id"]).first()) == (142, 0)
