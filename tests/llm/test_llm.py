@@ -56,8 +56,7 @@ def test_odd_and_empty_tables(spark, odd, empty, name):
     elif name == "op3_packing":
         assert got["length"].sum() == sum(d["doc_tokens"] for d in got[got.start == 0].to_dict("records"))
     elif name == "op13_collocations":
-        # one long text: its 12701 words come round by 13 and by 977, so every phrase is a candidate that a longer one holds
-        assert set(got["lang"]) == {"en"}
+        assert len(got) == 0  # no phrase of these texts occurs ten times
     else:
         assert len(got) == 12
     assert len(queries.QUERIES[name](spark, empty).toPandas()) == 0
