@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dustspark import constants as C
 from dustspark.functions import soiling as S
+from dustspark.session import send_code
 from dustspark.sources.dimensions import climate_dimension, policy_candidates
 
 # the four climates are a constant table, so the joins below may broadcast them
@@ -118,35 +124,62 @@ def observed_series(rollup: DataFrame, sites: DataFrame) -> DataFrame:
 
 def observed_candidates(rollup: DataFrame, sites: DataFrame) -> DataFrame:
     """Every policy candidate (21 constants) over each site's observed days: events, mean loss, lost kWh per kWp."""
-    arms = observed_series(rollup, sites).crossJoin(F.broadcast(policy_candidates(sites.sparkSession)))
-    return arms.select("site_id", "ord", "kind", "interval_days", "threshold_pct",
-                       F.size("days").alias("n_days"), candidate_totals(F.col("days")).alias("t")) \
-        .select("site_id", "ord", "kind", "interval_days", "threshold_pct", "n_days",
-                F.col("t.events").alias("events"), F.col("t.lost_kwh").alias("lost_kwh_per_kwp"),
-                (100.0 * F.col("t.loss_sum") / F.col("n_days")).alias("mean_loss_pct"))
-
-
-def candidate_totals(days: Column) -> Column:
-    """Totals of one candidate over an ordered series of (i, f, kwh). The state is a few scalars."""
-    kind = "struct<exposure:double,loss_sum:double,lost_kwh:double,events:int,last:int>"
-    start = F.struct(F.lit(0.0).alias("exposure"), F.lit(0.0).alias("loss_sum"), F.lit(0.0).alias("lost_kwh"),
-                     F.lit(0).alias("events"), F.lit(-999).alias("last")).cast(kind)
-
-    def step(acc: Column, day: Column) -> Column:
-        exposure = F.least(F.lit(C.MAX_EXPOSURE), acc["exposure"] + day["f"])
-        loss = S.loss_pct(exposure, F.col("lmax"), F.col("tau"))
-        clean = (F.when(F.col("interval_days").isNotNull(), F.pmod(day["i"] + 1, F.col("interval_days")) == 0)
-                 .when(F.col("threshold_pct").isNotNull(),
-                       (loss >= F.col("threshold_pct")) & (day["i"] - acc["last"] >= 2))
-                 .otherwise(F.lit(False)))
-        return F.struct(
-            F.when(clean, 0.0).otherwise(exposure).alias("exposure"),
-            (acc["loss_sum"] + loss / 100.0).alias("loss_sum"),
-            (acc["lost_kwh"] + day["kwh"] * loss / 100.0).alias("lost_kwh"),
-            (acc["events"] + F.when(clean, 1).otherwise(0)).alias("events"),
-            F.when(clean, day["i"]).otherwise(acc["last"]).alias("last")).cast(kind)
-
-    return F.aggregate(days, start, step)
+    spark = sites.sparkSession
+    send_code(spark)
+    series = observed_series(rollup, sites).select(
+        "site_id", "lmax", "tau", F.col("days.f").alias("f"), F.col("days.kwh").alias("kwh"))
+    kind = StructType([series.schema["site_id"]]).add("ord", "integer").add("n_days", "integer").add("events", "integer") \
+        .add("loss_sum", "double").add("lost_kwh", "double")
+    totals = series.mapInPandas(_candidate_rows, kind).join(F.broadcast(policy_candidates(spark)), "ord")
+    return totals.select(
+        "site_id", "ord", "kind", "interval_days", "threshold_pct", "n_days", "events",
+        F.col("lost_kwh").alias("lost_kwh_per_kwp"), (100.0 * F.col("loss_sum") / F.col("n_days")).alias("mean_loss_pct"))
+
+
+#: sites whose days are walked together
+_SITES = 256
+
+
+def _candidate_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        # sites of like length stand together, so that few days are filled up
+        batch = batch.iloc[np.argsort(batch["f"].map(len).to_numpy(), kind="stable")]
+        for k in range(0, len(batch), _SITES):
+            part = batch.iloc[k:k + _SITES]
+            n = part["f"].map(len).to_numpy()
+            f, kwh = np.zeros((2, len(part), n.max()))
+            for row, (x, y) in enumerate(zip(part["f"], part["kwh"], strict=True)):
+                f[row, :len(x)], kwh[row, :len(y)] = x, y
+            events, loss_sum, lost = candidate_totals(f, kwh, n, part["lmax"].to_numpy(float), part["tau"].to_numpy(float))
+            arms = events.shape[1]
+            yield pd.DataFrame({
+                "site_id": np.repeat(part["site_id"].to_numpy(), arms), "ord": np.tile(np.arange(arms, dtype=np.int32), len(part)),
+                "n_days": np.repeat(n.astype(np.int32), arms), "events": events.ravel(), "loss_sum": loss_sum.ravel(), "lost_kwh": lost.ravel()})
+
+
+def candidate_totals(f: np.ndarray, kwh: np.ndarray, n: np.ndarray, lmax: np.ndarray,
+                     tau: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Events, summed loss and lost kWh per kWp of all candidates (columns) over the first ``n`` days of some sites (rows).
+
+    One step a day for all sites and candidates; the state is a few numbers of each.
+    """
+    every = np.array([*C.INTERVAL_CANDIDATES, *[0] * (len(C.THRESHOLD_CANDIDATES) + 1)])
+    limit = np.array([*[np.inf] * len(C.INTERVAL_CANDIDATES), *C.THRESHOLD_CANDIDATES, np.inf])
+    exposure, loss_sum, lost = np.zeros((3, len(f), len(every)))
+    events, last = np.zeros(exposure.shape, np.int32), np.full(exposure.shape, -999)
+    lmax, tau = lmax[:, None], tau[:, None]
+    for i in range(f.shape[1]):
+        exposure = np.fmin(C.MAX_EXPOSURE, exposure + f[:, i, None])
+        raw = lmax * (1.0 - np.exp(-np.maximum(exposure, 0.0) / tau))
+        loss = 100.0 * np.minimum(raw, C.MAX_LOSS_FRAC)
+        clean = ((every > 0) & ((i + 1) % np.maximum(every, 1) == 0)) | ((loss >= limit) & (i - last >= 2))
+        open_ = (i < n)[:, None]
+        loss_sum += np.where(open_, loss / 100.0, 0.0)
+        lost += np.where(open_, kwh[:, i, None] * loss / 100.0, 0.0)
+        events += clean & open_
+        exposure[clean] = 0.0
+        last[clean] = i
+    return events, loss_sum, lost
 
 
 def policy_costs(rollup: DataFrame, sites: DataFrame, cost_per_mwp: Column | float | None = None,
@@ -170,14 +203,15 @@ _PICK = ("net_cost_sar", "ord", "kind", "interval_days", "threshold_pct", "event
          "value_lost_sar", "cleaning_cost_sar", "water_litres", "mean_loss_pct")
 
 
-def best_policy(costs: DataFrame) -> DataFrame:
-    """Cheapest candidate and cheapest fixed calendar per site; the first one wins a tie."""
+def _picks() -> list[Column]:
     pick = F.struct(*_PICK)
-    best = costs.groupBy("site_id").agg(
-        F.min(F.when(F.col("kind") != "never", pick)).alias("best"),
-        F.min(F.when(F.col("kind") == "interval", pick)).alias("fixed"),
-        F.min(F.when(F.col("kind") == "never", pick)).alias("never"),
-        F.count(F.lit(1)).alias("candidates"))
+    return [F.min(F.when(F.col("kind") != "never", pick)).alias("best"),
+            F.min(F.when(F.col("kind") == "interval", pick)).alias("fixed"),
+            F.min(F.when(F.col("kind") == "never", pick)).alias("never"),
+            F.count(F.lit(1)).alias("candidates")]
+
+
+def _compared(best: DataFrame) -> DataFrame:
     saving = F.col("fixed.net_cost_sar") - F.col("best.net_cost_sar")
     return best.withColumns({
         "beats_calendar": F.col("best.net_cost_sar") < F.col("fixed.net_cost_sar") - 1,
@@ -185,13 +219,20 @@ def best_policy(costs: DataFrame) -> DataFrame:
         "tuned_threshold_pct": F.coalesce(F.col("best.threshold_pct"), F.lit(C.DEFAULT_THRESHOLD_PCT))})
 
 
+def best_policy(costs: DataFrame) -> DataFrame:
+    """Cheapest candidate and cheapest fixed calendar per site; the first one wins a tie."""
+    return _compared(costs.groupBy("site_id").agg(*_picks()))
+
+
 def annual_habits(costs: DataFrame, default_interval: int = C.DEFAULT_CLEANING_INTERVAL) -> DataFrame:
-    """Yearly result of the usual habits per site, and what the tuned policy saves against today's."""
+    """Yearly result of the usual habits per site, and what the tuned policy saves against today's.
+
+    Habits and picks share one aggregate, so the candidates are walked once.
+    """
     arm = {f"d{k}": F.max(F.when(F.col("interval_days") == k, F.struct(*_PICK[:1], *_PICK[5:])))
            for k in (7, 14, 30, default_interval)}
-    habits = costs.groupBy("site_id").agg(*[c.alias(n) for n, c in arm.items()])
     today = f"d{default_interval}"
-    out = habits.join(best_policy(costs), "site_id")
+    out = _compared(costs.groupBy("site_id").agg(*[c.alias(n) for n, c in arm.items()], *_picks()))
     return out.select(
         "site_id", F.col("d7.net_cost_sar").alias("weekly_net_sar"),
         F.col("d14.net_cost_sar").alias("d14_net_sar"), F.col("d30.net_cost_sar").alias("d30_net_sar"),
