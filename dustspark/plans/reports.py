@@ -11,6 +11,7 @@ from dustspark.operators import nearest as N
 from dustspark.operators import policy as PL
 from dustspark.operators import profile as PR
 from dustspark.operators import schedule as SC
+from dustspark.session import written
 
 
 def station_report(points: DataFrame, stations: DataFrame, k: int = 3, inside: int = 8,
@@ -52,9 +53,10 @@ def site_report(rollup: DataFrame, sites: DataFrame, horizon: int | None = 14,
     if capacity_kwp is not None:
         sites = sites.withColumn("capacity_kwp", F.lit(float(capacity_kwp)))
     days = rollup if horizon is None else head_days(rollup, horizon)
-    costs = PL.policy_costs(rollup, sites, cost_per_mwp)
+    # both are read by several parts of the report, which would walk all days again for each
+    costs = written(PL.policy_costs(rollup, sites, cost_per_mwp))
     plants = plants_with_policy(sites, costs, cost_per_mwp, interval_days)
-    rows = SC.project(days, plants)
+    rows = written(SC.project(days, plants))
     totals = SC.schedule_totals(rows)
     fixed = totals.filter(F.col("schedule") == "fixed").select(
         "site_id", "energy_kwh", "clean_kwh", "lost_kwh", "mean_loss_pct", "max_loss_pct", "cleaning_events", "net_sar")

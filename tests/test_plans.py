@@ -2,7 +2,10 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from dustspark.operators import policy as PL
+from dustspark.plans import reports as RP
 
 _DAY = ("site_id long, date date, pm10_ugm3 double, dust_ugm3 double, wind_max_ms double, gust_max_ms double, rh_mean_pct double, irradiation_kwh_m2 double, "
         "peak_ghi_wm2 double, tcell_max_c double, tair_max_c double, precip_mm double, aod double")
@@ -23,3 +26,11 @@ def test_candidates_are_walked_once_and_not_by_an_interpreted_fold(spark):
     rollup, sites = _inputs(spark)
     plan = _plan(PL.annual_habits(PL.policy_costs(rollup, sites)))
     assert plan.count("MapInPandas") == 1 and "aggregate(" not in plan
+
+
+def test_site_report_reads_what_its_parts_share(spark):
+    rollup, sites = _inputs(spark)
+    report = RP.site_report(rollup, sites)
+    plan = _plan(report)
+    assert "MapInPandas" not in plan and "aggregate(" not in plan
+    assert report.select("site_id", F.col("decision").isNotNull().alias("decided")).orderBy("site_id").collect() == [(1, True), (2, True)]
