@@ -83,8 +83,9 @@ _WAITING = "day long, dust_factor double, precip_mm double, pm10_max double, thr
 class SiteState(StatefulProcessor):
     """Per site the exposure and rows since rain, and a list of days that wait for the watermark.
 
-    A day sets an event-time timer at its own time. When the watermark reaches it, the days up to there leave the list in the
-    order of their dates, whatever the order of their arrival. A day delivered again while it waits replaces the first.
+    The earliest waiting day has an event-time timer at its own time. When the watermark has passed it, all days before the
+    watermark leave the list in the order of their dates, whatever the order of their arrival, and the next day sets the
+    timer: the list is read once a batch, not once a day. A day delivered again while it waits replaces the first.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -94,19 +95,22 @@ class SiteState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         waiting = {w[0]: w for w in self._waiting.get()}
+        timed = min(waiting, default=None)
         for part in rows:
             for ts, *values in zip(part["ts"], *[part[c].astype(float) for c in ("dust_factor", "precip_mm", "pm10_max", "threshold")], strict=True):
                 at = int(pd.Timestamp(ts).tz_localize("UTC").timestamp() * 1000) if pd.Timestamp(ts).tzinfo is None else int(pd.Timestamp(ts).timestamp() * 1000)
-                if at not in waiting:
-                    self._handle.registerTimer(at)
                 waiting[at] = (at, *map(float, values))
+        first = min(waiting, default=None)
+        if first is not None and (timed is None or first < timed):
+            self._handle.registerTimer(first)
         self._waiting.put(list(waiting.values()))
         yield pd.DataFrame({"site_id": [], "day": [], "exposure": [], "days_since_rain": [], "storm_alert": []})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
         due, rest = [], []
         for w in self._waiting.get():
-            (due if w[0] <= expiredTimerInfo.getExpiryTimeInMs() else rest).append(w)
+            (due if w[0] <= passed else rest).append(w)
         exposure, since = self._state.get() if self._state.exists() else (0.0, C.DAYS_SINCE_CAP)
         out = []
         for day, dust_factor, precip_mm, pm10_max, threshold in sorted(due):
@@ -116,7 +120,11 @@ class SiteState(StatefulProcessor):
             since = 0 if precip_mm >= 1.0 else min(since + 1, C.DAYS_SINCE_CAP)
             out.append((key[0], day, exposure, since, bool(pm10_max >= threshold)))
         if due:
-            self._waiting.put(rest) if rest else self._waiting.clear()
+            if rest:
+                self._waiting.put(rest)
+                self._handle.registerTimer(min(w[0] for w in rest))
+            else:
+                self._waiting.clear()
             self._state.update((float(exposure), int(since)))
         yield pd.DataFrame(out, columns=["site_id", "day", "exposure", "days_since_rain", "storm_alert"])
 
