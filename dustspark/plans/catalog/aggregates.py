@@ -12,7 +12,7 @@ from dustspark.operators import profile as PR
 from dustspark.operators import ranks as R
 from dustspark.plans import reports as RP
 from dustspark.plans.catalog.base import SQL_FEATURES, pick, query, rounded, sql
-from dustspark.session import scratch
+from dustspark.session import scratch, written
 from dustspark.sources import fixtures as X
 from dustspark.sources import sinks as K
 
@@ -178,7 +178,7 @@ def bin_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a21_bin_counts", "A21", sql("samples", _EDGES.lstrip() + "SELECT feature, CAST(len(list_filter(edges, lambda x: x < value)) AS INTEGER) AS bin, count(*) AS n FROM u JOIN e USING (feature) GROUP BY 1, 2"))
 def bin_counts(spark: SparkSession, d: str) -> DataFrame:
-    n = _train(spark, d)
+    n = written(_train(spark, d))  # the edges and the bins both read it
     return PR.bin_values(n, C.FEATURES, PR.bin_edges(n, C.FEATURES)).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
