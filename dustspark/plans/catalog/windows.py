@@ -16,6 +16,7 @@ from dustspark.operators import windows as W
 from dustspark.plans import reports as RP
 from dustspark.plans.catalog.base import pick, query, rounded, settled, sql, sql_dust_factor
 from dustspark.plans.catalog.folds import balance_sql
+from dustspark.session import written
 from dustspark.sources import fixtures as X
 
 _ROLL = ["pm10_max_3d", "pm10_max_7d", "pm10_max_30d", "dust_mean_7d", "dust_mean_30d", "gust_max_7d", "gust_max_30d",
@@ -139,11 +140,11 @@ _TRAINING = """, counts AS (SELECT site_id, date, (rn-1) % 8 AS days_since_clean
 
 @query("m0_training_table", "W7 W8 W9 J13 P6", sql("daily sites", _TRAINING, balance_sql(7).replace("daily_n", "daily"), recursive=True))
 def training_table(spark: SparkSession, d: str) -> DataFrame:
-    n = X.daily(spark, d)
+    n = written(X.daily(spark, d))  # features, balance and counters read the days, and the last two the prepared ones
     days = n.select("site_id", "date", F.col("pm10_mean").alias("pm10_mean_ugm3"), F.col("pm10_max").alias("pm10_max_ugm3"),
                     F.col("dust_mean").alias("dust_mean_ugm3"), "aod_mean", (F.col("wind_max_ms") * 3.6).alias("wind_max_kmh"),
                     (F.col("gust_max_ms") * 3.6).alias("gust_max_kmh"), "rh_mean_pct", "precip_mm")
-    prepared = MB.prepare(n.withColumn("wind_kmh", F.col("wind_max_ms") * 3.6))
+    prepared = written(MB.prepare(n.withColumn("wind_kmh", F.col("wind_max_ms") * 3.6)))
     labels = MB.mass_balance(prepared, MB.site_factor(X.sites(spark, d))).drop("mass")
     counts = MB.counters(prepared).select("site_id", "date", *[F.col(c).cast("long").alias(c) for c in ("days_since_clean", "days_since_rain")])
     out = FE.training_table(days, labels.join(counts, ["site_id", "date"]))

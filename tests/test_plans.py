@@ -76,3 +76,11 @@ def test_a_batch_of_due_days_leaves_the_list_at_once():
     out = pd.concat(site.handleExpiredTimer((7,), clock, SimpleNamespace(getExpiryTimeInMs=lambda: at[1])))
     assert out["exposure"].tolist() == [1.0, 3.0, 6.0, 11.0] and waiting.reads == before + 1
     assert timers == {at[1], at[9]} and [w[0] for w in waiting.value] == [at[9]]
+
+
+def test_shared_days_are_rolled_up_once(spark, small):
+    from dustspark.plans.catalog import CATALOG
+
+    for name in ("a21_bin_counts", "m0_training_table"):
+        files = CATALOG[name].run(spark, small).inputFiles()
+        assert files and not any("lineitem" in f for f in files), name
