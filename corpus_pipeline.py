@@ -23,7 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays, that of the smallest id."""
+    """One document of each group of near copies stays, that of the smallest id. SimHash links of the trie self-join are checked by
+    Jaccard (five-word shingles, 0.8 or more); the links that fingerprints lose are found exactly."""
     return simhash.keep_first(docs, jaccard.classes)
 
 

@@ -1,12 +1,19 @@
-"""Near-duplicates by exact Jaccard similarity: sets of five-word shingles, linked at 0.8 or more, by a prefix-filter join.
+"""Near-duplicates: SimHash links of the trie self-join, checked by exact Jaccard similarity (sets of five-word shingles, 0.8 or
+more), and a prefix-filter join for the links that fingerprints lose.
+
+First the texts' fingerprints are joined within the trie's budget (``simhash.py``). The texts of each component of fingerprints
+make a chain in the order of their sizes, and its pairs are verified. Few bits differ between most near copies, but not between
+all, so the rest of the links is found exactly, between different components only:
 
 Shingles are put in one order for all documents: those that a sample finds frequent last, by frequency, then by hash. Two sets
 that are similar enough share a shingle among the first n - ceil(0.8 n) + 1 of each, so only these are joined; sizes and
 positions rule out more. The order, and with it the sample, decides the cost and never the result.
 
-Many near copies share a shingle, and their pairs are not all built: first each shingle links its documents in a chain of
-random order, and the pairs of the chains are verified; then each shingle pairs the documents of different components only.
-A pair is verified by bits that bound its difference from below (parities of 256 shingle classes), then by its whole sets.
+Many near copies share a shingle, and their pairs are not all built: first each shingle links its documents in a chain by size,
+in one order for all shingles, so that chains of the same copies have the same pairs, and those between components are verified;
+then each shingle pairs the documents of different components only.
+A pair is verified by bits that bound its difference from below (parities of twice as many classes as a set has shingles, or
+more), so that hardly any unlike texts are compared, then by its whole sets.
 Links have exact similarity; a component is what they connect. Equal sets are one node, named by a 64-bit digest.
 
 Words are lowercased in ASCII. A text of one to four words has its word sequence as the only shingle. Null, empty and
@@ -23,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dustspark.llm.common import ship
-from dustspark.llm.simhash import components
+from dustspark.llm.simhash import components, fingerprint, linked_pairs
 from dustspark.session import cut_lineage, is_small
 
 SHINGLE = 5
@@ -32,6 +39,7 @@ TIMES, OF = 4, 5
 SEED = 42
 #: documents of the sample, least of them with a frequent shingle, most frequent shingles that are told apart
 SAMPLE, FREQUENT, MOST_FREQUENT = 4096, 3, 1 << 20
+#: least words of 64 parities
 PARITIES = 4
 
 
@@ -57,11 +65,22 @@ def digest(s: np.ndarray) -> int:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of 64 * PARITIES classes: sets that differ in d shingles differ in at most d bits."""
-    odd = np.bincount(s.view(np.uint64) >> np.uint64(56), minlength=64 * PARITIES) & 1
+    """Parity of the shingles in each class: sets that differ in d shingles differ in at most d bits. The classes are a power of
+    two, so that half of them are the exclusive or of the halves."""
+    words = max(PARITIES, 1 << (len(s) // 32).bit_length())
+    odd = np.bincount((s & (64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _differ(x: str, y: str) -> Column:
+    """Differing parities of two columns, in the classes of the shorter."""
+    short = F.least(F.size(x), F.size(y))
+
+    def word(bits: str, j: Column) -> Column:
+        return F.aggregate(F.sequence(j, F.size(bits) - 1, short), F.lit(0).cast("long"), lambda all_, i: all_.bitwiseXOR(F.get(bits, i)))
+    return F.aggregate(F.sequence(F.lit(0), short - 1), F.lit(0), lambda n, j: n + F.bit_count(word(x, j).bitwiseXOR(word(y, j))))
+
+
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are frequent in a sample (sorted), and in how many of its documents each is."""
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,17 +108,18 @@ def _prints(frequent) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     often = np.where(known[at] == s, count[at], 0)
                 first = s[np.lexsort((s, often))][:n - (n * TIMES + OF - 1) // OF + 1]
-                rows.append((digest(s), n, parities(s), first))
-            out = pd.DataFrame(rows, columns=["node", "n", "bits", "first"])
-            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(), key=batch["key"].to_numpy())[["doc_id", "key", "node", "n", "bits", "first"]]
+                rows.append((digest(s), int(np.uint64(fingerprint(text)).view(np.int64)), n, parities(s), first))
+            out = pd.DataFrame(rows, columns=["node", "fp", "n", "bits", "first"])
+            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(), key=batch["key"].to_numpy())[["doc_id", "key", "node", "fp", "n", "bits", "first"]]
     return prints
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keep = []
+        sets = {t: shingles(t) for t in {*batch["text_a"], *batch["text_b"]}}  # a text may be in many pairs
         for x, y in zip(batch["text_a"], batch["text_b"], strict=True):
-            x, y = shingles(x), shingles(y)
+            x, y = sets[x], sets[y]
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append((OF + TIMES) * both >= TIMES * (len(x) + len(y)))
         yield batch.loc[np.array(keep, bool), ["a", "b"]]
@@ -114,8 +134,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     known = nodes.select("node", "key", "n", "bits")
     both = pairs.join(_of(known, "a"), "a").join(_of(known, "b"), "b")
     total = F.col("n_a") + F.col("n_b")
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(PARITIES)), F.lit(0))
-    both = both.where(OF * F.least("n_a", "n_b") >= TIMES * F.greatest("n_a", "n_b")).where((OF + TIMES) * differ <= (OF - TIMES) * total)
+    both = both.where(OF * F.least("n_a", "n_b") >= TIMES * F.greatest("n_a", "n_b")).where((OF + TIMES) * _differ("bits_a", "bits_b") <= (OF - TIMES) * total)
     both = cut_lineage(both.select("a", "b", "key_a", "key_b"))
     keys = both.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
     asked = F.broadcast(keys) if is_small(keys) else keys
@@ -130,17 +149,39 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of similar nodes; not every pair, but every connection. ``texts``: (key, text), with every key of the nodes."""
-    rows = nodes.select("node", "n", F.posexplode("first").alias("pos", "s"))
-    w = Window.partitionBy("s").orderBy(F.xxhash64("s", "node"), "node")
+def _labels(found: DataFrame) -> DataFrame:
+    """(node, root) with the roots themselves."""
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _rooted(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def fingerprint_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of similar nodes among those whose fingerprints the trie self-join connects."""
+    prints = cut_lineage(nodes.select("fp").distinct())
+    group = _labels(components(linked_pairs(prints))).withColumnRenamed("node", "fp")
+    rows = nodes.select("node", "fp", "n").join(group, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    after = rows.withColumn("next", F.lead("node").over(Window.partitionBy("root").orderBy("n", "node")))
+    return cut_lineage(_similar(after.where("next IS NOT NULL").select(*_ordered("node", "next")), nodes, texts))
+
+
+def links(nodes: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of similar nodes; not every pair, but every connection. ``first``: (node, n, first), the first shingles of
+    each set; ``texts``: (key, text), with every key of the nodes."""
+    near = fingerprint_links(nodes, texts)
+    label = _labels(components(near))
+    rows = first.select("node", "n", F.posexplode("first").alias("pos", "s"))
+    w = Window.partitionBy("s").orderBy("n", "node")
     rows = rows.withColumns({"next": F.lead("node").over(w), "before": F.lag("node").over(w)})
     shared = cut_lineage(rows.where("next IS NOT NULL OR before IS NOT NULL").drop("before"))
     chains = shared.where("next IS NOT NULL").select(*_ordered("node", "next")).distinct()
-    chained = cut_lineage(_similar(chains, nodes, texts))
-    found = components(chained)
-    label = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    rows = shared.drop("next").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for side in ("a", "b"):
+        chains = _rooted(chains.withColumnRenamed(side, "node"), label).withColumnsRenamed({"node": side, "root": f"root_{side}"})
+    chains = cut_lineage(chains.where("root_a <> root_b").select("a", "b"))
+    chained = near.unionByName(cut_lineage(_similar(chains, nodes, texts)))
+    rows = _rooted(shared.drop("next"), _labels(components(chained)))
     held = rows.groupBy("s", "root").count().groupBy("s").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("count", "root")).alias("most"))
     open_ = cut_lineage(rows.join(held.where("roots > 1").select("s", F.col("most.root").alias("most")), "s"))
     x = open_.where("root <> most").select("s", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), F.col("root").alias("root_x"))
@@ -158,10 +199,14 @@ def classes(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts.select("text")))
-    prints = cut_lineage(texts.mapInPandas(_prints(frequent), "doc_id bigint, key bigint, node bigint, n int, bits array<bigint>, first array<bigint>"))
-    nodes = cut_lineage(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "bits", "first")]))
-    found = components(links(nodes, texts.select("key", "text")))
-    member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "least_id"), "node")
+    prints = cut_lineage(texts.mapInPandas(_prints(frequent), "doc_id bigint, key bigint, node bigint, fp bigint, n int, bits array<bigint>, first array<bigint>"))
+    # of equal sets one text stands for all, with its own fingerprint
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "fp")).alias("text"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = cut_lineage(nodes.select("node", "least_id", "text.*", "n", "bits"))
+    # first shingles are read once, so they are not written again
+    first = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    found = components(links(nodes, first, texts.select("key", "text")))
+    member = _labels(found).join(nodes.select("node", "least_id"), "node")
     named = member.join(member.groupBy("root").agg(F.min("least_id").alias("named")), "root").select("node", "named")
     label = nodes.select("node", "least_id").join(named, "node", "left").select("node", F.coalesce("named", "least_id").alias("component_id"))
     return prints.select("doc_id", "node").join(label, "node").select("doc_id", "component_id")

@@ -433,6 +433,31 @@ def test_near_dedup_equals_brute_force_jaccard(spark):
     assert pairs > 500 and kept == set(label) and 20 < len(kept) < len(texts) - 50
 
 
+def test_near_dedup_checks_the_links_of_the_trie(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(jaccard, "linked_pairs", lambda prints: asked.append(prints.count()) or simhash.linked_pairs(prints))
+    same = "a " * 400  # repeats outweigh the other words in a fingerprint, but are one shingle
+    one, two = (same + " ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    copy = " ".join(f"w{i}" for i in range(300))
+    texts = [one, two, copy, copy + " more"]
+    assert bin(simhash.fingerprint(one) ^ simhash.fingerprint(two)).count("1") <= simhash.BUDGET
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert asked and kept == [0, 1, 2]
+
+
+def test_parities_bound_the_difference_and_tell_unlike_sets(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n, m, common in ((4, 5, 4), (400, 400, 395), (500, 530, 480), (400, 400, 60), (1900, 2100, 100), (9000, 8000, 0)):
+        ids = rng.integers(-2**63, 2**63 - 1, n + m, dtype=np.int64)
+        x, y = np.unique(ids[:n]), np.unique(ids[n - common:n - common + m])
+        rows.append((n + m, n + m - 2 * common, jaccard.parities(x).tolist(), jaccard.parities(y).tolist()))
+    found = spark.createDataFrame(rows, "total int, apart int, x array<bigint>, y array<bigint>").withColumn("differ", jaccard._differ("x", "y")).collect()
+    assert all(r.differ <= r.apart for r in found)
+    assert [9 * r.differ <= r.total for r in found] == [True, True, True, False, False, False]
+
+
 def test_pipeline_equals_its_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, small).cache()
