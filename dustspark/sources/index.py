@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from dustspark.operators.retrieval import Index, corpus_stats, postings, term_stats
 
 BUCKETS = 64
+#: characters of text whose postings one task sorts and writes; a bucket of more is written by several
+TASK_CHARS = 1 << 21
 _MANIFEST = "file string, modified timestamp, run long, live boolean"
 
 
@@ -60,7 +62,10 @@ def refresh(docs: DataFrame, path: str) -> int:
     new = postings(touched).join(files, "doc_id")
     # a row without a file keeps a stale bucket from staying as it was when none of its documents has a token left
     emptied = spark.createDataFrame([(b,) for b in stale], "bucket int")
-    new.unionByName(emptied, allowMissingColumns=True).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+    sizes = {r["bucket"]: r["n"] for r in touched.groupBy("bucket").agg(F.sum(F.length("text")).alias("n")).collect()}  # at most BUCKETS rows
+    pieces = {b: 1 + (sizes.get(b) or 0) // TASK_CHARS for b in stale}
+    piece = F.pmod(F.xxhash64("doc_id", "term"), F.create_map(*[F.lit(x) for kv in pieces.items() for x in kv])[F.col("bucket")])
+    new.unionByName(emptied, allowMissingColumns=True).repartition(sum(pieces.values()), "bucket", piece).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("bucket").parquet(f"{path}/postings")
     log = _existing(spark, f"{path}/manifest")  # vanished files count as well: a run number is never used twice
     run = ((log.agg(F.max("run")).first()[0] if log is not None else None) or 0) + 1

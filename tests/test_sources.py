@@ -224,3 +224,14 @@ def test_order_breaks_are_counted(spark, tmp_path):
     rows.where("day < 2").coalesce(1).write.parquet(str(tmp_path / "b"))
     assert tuple(K.order_breaks(spark, str(tmp_path / "b"), ["site_id", "day"]).first()) == (142, 1)
     assert tuple(K.order_breaks(spark, str(tmp_path / "b"), ["day", "site_id"]).first()) == (142, 0)
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(IX, "TASK_CHARS", 1000)
+    rows = [(i, " ".join(f"t{i}x{j}" for j in range(50)), "one", datetime.datetime(2025, 1, 1)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file string, modified timestamp")
+    path = str(tmp_path / "idx")
+    assert IX.refresh(docs, path) == 1
+    sizes = [n for (n,) in spark.read.parquet(f"{path}/postings").groupBy(F.input_file_name()).count().select("count").collect()]
+    assert sum(sizes) == 60 * 50 + 1 and max(sizes) < 1500  # and the row that stands for the file's bucket
+    assert IX.load_index(docs, path).postings.count() == 60 * 50
