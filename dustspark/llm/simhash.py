@@ -37,6 +37,8 @@ LEAST_CHUNK, MOST_CHUNK = 2048, 1 << 18
 BATCH_ROWS, BATCH_PAIRS = 1 << 17, 1 << 20
 #: node pairs with at most so many element pairs are compared directly
 DIRECT = 12
+#: links of one task in a round of the stars
+ROUND_LINKS = 1 << 14
 
 
 def fingerprint(text: str | None) -> int:
@@ -211,20 +213,29 @@ def linked_pairs(prints: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node: root is the smallest node reachable. Large-star and small-star steps until nothing moves."""
+    """(node, root) of every linked node: root is the smallest node reachable. Large-star and small-star steps until nothing moves.
+
+    Links are few against documents, and there are many rounds: a round has as many tasks as its links need, not one per shuffle
+    partition, each with its files and its line in the event log. Links of one task are not shuffled at all."""
+    def by_node(rows: DataFrame, low: DataFrame) -> DataFrame:
+        # the join would shuffle even a single task's rows
+        return rows.join(F.broadcast(low) if tasks == 1 else low, "u")
+
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    count, state = edges.count(), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = max(1, -(-count // ROUND_LINKS))
+        edges = edges.coalesce(tasks)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        large = by_node(both, low).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
-        edges = cut_lineage(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
+        small = by_node(large, low).select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
+        edges = cut_lineage(small.unionByName(low.select("u", F.col("low").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).coalesce(tasks)
+        count, state = now[0], now
 
 
 def classes(docs: DataFrame) -> DataFrame:

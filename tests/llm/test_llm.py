@@ -404,6 +404,27 @@ def test_magic_inside_a_member_is_refused(tmp_path):
             assert [warc.parse(m)[0]["WARC-Record-ID"] for m in found] == [f"<urn:page:{k}>" for k in range(4)]
 
 
+def test_component_rounds_have_as_many_tasks_as_links_need(spark, monkeypatch):
+    chain = list(range(60))
+    random.Random(5).shuffle(chain)
+    rows = [(a, b) for a, b in zip(chain, chain[1:]) if a % 7 and b % 7] + [(3, 3), (9, 9), (70, 71), (71, 70)]
+    label = simhash.forest(72, *(np.array(x) for x in zip(*rows)))
+    links = spark.createDataFrame(rows, "a bigint, b bigint").repartition(12)
+    partitions, coalesced = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {k: spark.conf.get(k) for k in (partitions, coalesced)}
+    spark.conf.set(partitions, "12")
+    spark.conf.set(coalesced, "false")
+    try:
+        for most, tasks in ((simhash.ROUND_LINKS, 1), (8, 12)):
+            monkeypatch.setattr(simhash, "ROUND_LINKS", most)
+            found = simhash.components(links)
+            assert {r.node: r.root for r in found.collect()} == {k: v for k, v in enumerate(label.tolist()) if k != v}
+            assert found.rdd.getNumPartitions() <= tasks
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # ---- pipeline
 def test_near_dedup_equals_brute_force_jaccard(spark):
     rng = random.Random(8)
