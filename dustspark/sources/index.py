@@ -58,15 +58,20 @@ def refresh(docs: DataFrame, path: str) -> int:
     if not stale:
         return 0
     touched = docs.withColumn("bucket", _bucket()).filter(F.col("bucket").isin(stale))
-    files = touched.select("doc_id", "file", "bucket")
-    new = postings(touched).join(files, "doc_id")
+    # texts are dealt by document, where their terms are counted and meet their file; from there on a document is one row, its
+    # terms (which have no blanks) one text
+    counted = postings(touched.repartition("doc_id")).groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("_t"))
+    counted = counted.select("doc_id", "dl", F.array_join("_t.term", " ").alias("_terms"), F.col("_t.tf").alias("_tfs"))
+    new = counted.join(touched.select("doc_id", "file", "bucket").hint("shuffle_hash"), "doc_id")
     # a row without a file keeps a stale bucket from staying as it was when none of its documents has a token left
     emptied = spark.createDataFrame([(b,) for b in stale], "bucket int")
     sizes = {r["bucket"]: r["n"] for r in touched.groupBy("bucket").agg(F.sum(F.length("text")).alias("n")).collect()}  # at most BUCKETS rows
     pieces = {b: 1 + (sizes.get(b) or 0) // TASK_CHARS for b in stale}
-    piece = F.pmod(F.xxhash64("doc_id", "term"), F.create_map(*[F.lit(x) for kv in pieces.items() for x in kv])[F.col("bucket")])
-    new.unionByName(emptied, allowMissingColumns=True).repartition(sum(pieces.values()), "bucket", piece).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("bucket").parquet(f"{path}/postings")
+    piece = F.pmod(F.xxhash64("doc_id"), F.create_map(*[F.lit(x) for kv in pieces.items() for x in kv])[F.col("bucket")])
+    dealt = new.unionByName(emptied, allowMissingColumns=True).repartition(sum(pieces.values()), "bucket", piece)
+    pairs = F.arrays_zip(F.split("_terms", " ").alias("term"), F.col("_tfs").alias("tf"))
+    dealt.withColumn("_t", F.explode_outer(pairs)).select("doc_id", "dl", "_t.term", "_t.tf", "file", "bucket") \
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/postings")
     log = _existing(spark, f"{path}/manifest")  # vanished files count as well: a run number is never used twice
     run = ((log.agg(F.max("run")).first()[0] if log is not None else None) or 0) + 1
     marks = fresh.select("file", "modified", F.lit(run).cast("long").alias("run"), F.lit(True).alias("live")).unionByName(

@@ -235,3 +235,20 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch
     sizes = [n for (n,) in spark.read.parquet(f"{path}/postings").groupBy(F.input_file_name()).count().select("count").collect()]
     assert sum(sizes) == 60 * 50 + 1 and max(sizes) < 1500  # and the row that stands for the file's bucket
     assert IX.load_index(docs, path).postings.count() == 60 * 50
+
+
+def test_a_refresh_shuffles_texts_once_and_documents_as_one_row(spark, tmp_path, monkeypatch):
+    plans, writer = [], type(spark.range(1).write)
+    parquet = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path, *a, **k: plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())) or parquet(self, path, *a, **k))
+    rows = [(i % 50, f"amber dune x{i % 50} amber", f"f{i % 7}", datetime.datetime(2025, 1, 1)) for i in range(100)]  # each document in two files
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file string, modified timestamp")
+    IX.refresh(docs, str(tmp_path / "idx"))
+    plan = next(p for path, p in plans if path.endswith("/postings"))
+    dealt = [line for line in plan.split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 3 and not any("term" in line.split("]")[0].split("hashpartitioning")[1].split(")")[0] for line in dealt)
+    got = spark.read.parquet(str(tmp_path / "idx/postings")).where("term IS NOT NULL")
+    # a repeated document is counted as one, and stands once for each of its rows
+    assert got.groupBy("doc_id", "dl", "term", "tf").count().select("doc_id", "dl", "term", "tf", "count").exceptAll(spark.createDataFrame(
+        [(i, 4, t, n, 2) for i in range(50) for t, n in (("amber", 4), ("dune", 2), (f"x{i}", 2))], "doc_id long, dl int, term string, tf long, count long")).count() == 0
+    assert got.count() == 50 * 3 * 2
